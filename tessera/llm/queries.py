@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, html, packing, sharding, url_filters
+from tessera.llm import decontamination, fingerprints, html, packing, quality, sharding, url_filters
 
 #: (host, path, verdict), fixed by the contract of op4.
 URL_RULES = [
@@ -25,6 +26,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def held_out(parts: int) -> Column:
+    """crc32 of doc_id as text leaves no remainder; a null id counts as an empty text and so is held out."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts)) == 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,8 +56,22 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out(5)), label="quality")
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = decontamination.phrase_blocks(table(spark, sf_dir, "benchmark"))
+    found = decontamination.judged(decontamination.scan(table(spark, sf_dir, "documents"), blocks))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op3_fingerprints, op4_url_filters, op5_packing, op6_sharding)}
+    return {f.__name__: f for f in (op1_html, op3_fingerprints, op4_url_filters, op5_packing, op6_sharding, op7_quality, op9_decontamination)}
 
 
 ORACLE_SQL = {
