@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprints, html, packing, quality, sharding, url_filters
+from tessera.llm import decontamination, fingerprints, html, packing, quality, sharding, substrings, url_filters
 
 #: (host, path, verdict), fixed by the contract of op4.
 URL_RULES = [
@@ -39,6 +39,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edited(table(spark, sf_dir, "documents"))
 
@@ -71,7 +76,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op3_fingerprints, op4_url_filters, op5_packing, op6_sharding, op7_quality, op9_decontamination)}
+    return {f.__name__: f for f in (op1_html, op2_substrings, op3_fingerprints, op4_url_filters, op5_packing, op6_sharding, op7_quality, op9_decontamination)}
 
 
 ORACLE_SQL = {
