@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprints, html, packing, quality, sharding, substrings, url_filters
+from tessera.llm import decontamination, fingerprints, html, near_duplicates, packing, quality, sharding, substrings, url_filters
 
 #: (host, path, verdict), fixed by the contract of op4.
 URL_RULES = [
@@ -75,8 +75,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_substrings, op3_fingerprints, op4_url_filters, op5_packing, op6_sharding, op7_quality, op9_decontamination)}
+    return {f.__name__: f for f in (op1_html, op2_substrings, op3_fingerprints, op4_url_filters, op5_packing, op6_sharding, op7_quality, op9_decontamination, op10_near_duplicates)}
 
 
 ORACLE_SQL = {
