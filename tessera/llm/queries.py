@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprints, html, near_duplicates, packing, quality, sharding, substrings, url_filters
+from tessera.llm import decontamination, fingerprints, html, language_model, near_duplicates, packing, quality, sharding, substrings, url_filters
 
 #: (host, path, verdict), fixed by the contract of op4.
 URL_RULES = [
@@ -68,6 +68,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_model.score(table(spark, sf_dir, "documents"), train=~held_out(10))
+    return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = decontamination.phrase_blocks(table(spark, sf_dir, "benchmark"))
     found = decontamination.judged(decontamination.scan(table(spark, sf_dir, "documents"), blocks))
@@ -80,7 +85,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_substrings, op3_fingerprints, op4_url_filters, op5_packing, op6_sharding, op7_quality, op9_decontamination, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_html, op2_substrings, op3_fingerprints, op4_url_filters, op5_packing, op6_sharding, op7_quality, op8_language_model, op9_decontamination, op10_near_duplicates)}
 
 
 ORACLE_SQL = {
