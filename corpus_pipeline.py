@@ -1,16 +1,73 @@
-"""A corpus pipeline of the llm operators."""
+"""A corpus pipeline of five llm operators: from ``documents`` to packed training sequences.
+
+Each stage works on all that the one before it kept and returns the columns of ``documents``; the last returns the pieces
+of packed sequences. Stages raise what their operators raise.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, near_duplicates, packing, quality, substrings
+from tessera.llm.queries import table, tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents that score less are rejected.
+QUALITY = 0.3
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject. It learns from all labels, of any fold."""
+    model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="quality")
+    return quality.score(docs, model, keep=True).where(F.col("score") >= QUALITY).select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    kept = near_duplicates.groups(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+
 
-STAGES: list = []
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the windows that an earlier document has; documents of which nothing is left go, untouched ones stay as they are."""
+    found = substrings.deduplicate(docs)
+    changed = F.col("dedup.n_removed") > 0
+    found = found.where(~changed | (F.col("dedup.n_removed") < F.col("dedup.n_words")))
+    found = found.withColumn("text", F.when(changed, F.col("dedup.kept")).otherwise(F.col("text")))
+    return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated; where those have a few benchmark words, these go."""
+    blocks = decontamination.phrase_blocks(table(spark, sf_dir, "benchmark"))
+    found = decontamination.judged(decontamination.scan(docs, blocks, keep=True)).where(~F.col("contaminated"))
+    changed = F.col("n_hit") > 0
+    found = found.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
+    return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of up to 1024 tokens."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("near-dedup", keep_one_of_each_group),
+    ("substring dedup", cut_repeats),
+    ("decontamination", keep_uncontaminated),
+    ("packing", pack),
+]
+#: A classifier, approximate candidates and a tokenizer are nothing that SQL can express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to ``documents``, each to what the one before it wrote."""
+    from tessera.llm.frames import cut
+
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -114,7 +114,7 @@ def hits(data: np.ndarray, offsets: np.ndarray, blocks: list[Broadcast]) -> tupl
 
 
 def scan(df: DataFrame, blocks: list[Broadcast], id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """Return ``id, n_words, spans, items`` for each row, and with ``keep`` the ``kept`` text without the spans.
+    """Return ``id, n_words, spans, items`` for each row; with ``keep`` all columns of ``df``, these, and the ``kept`` text without the spans.
 
     ``spans`` are the merged runs of hit words, ``[start, end)`` in words; ``items`` the item ids, as sorted strings, of
     which a window occurs. Words are compared by 64-bit hashes after A-Z became a-z. Null texts have no words; a null item
@@ -122,43 +122,46 @@ def scan(df: DataFrame, blocks: list[Broadcast], id: str = "doc_id", text: str =
     ``kept`` is the text itself where nothing is hit; elsewhere the bytes from the start of a span's first word to the end
     of its last are left out. There is no shuffle; a worker holds one shard of about 4 MB, or one longer text.
     """
-    kind = df.schema[id].dataType.simpleString()
-    schema = f"id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>" + ", kept string" * keep
+    found_type = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>,kept:string>"
     arrow_span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = W.buffers(batch.column(1))
-            for a, b in W.chunks(np.diff(offsets)):
-                own = data[offsets[a] : offsets[b]]
-                found, hit, items = hits(own, offsets[a : b + 1] - offsets[a], blocks)
-                step = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                starts, ends = np.flatnonzero(step > 0), np.flatnonzero(step < 0)
-                spans, kept = [], []
-                # A run that goes on into the next document is cut there.
-                cuts = found.first[1:-1]
-                cuts = cuts[(cuts > 0) & (cuts < len(hit))]
-                both = cuts[hit[cuts] & hit[cuts - 1]] if len(hit) else cuts
-                starts, ends = np.unique(np.concatenate([starts, both])), np.unique(np.concatenate([ends, both]))
-                first = np.searchsorted(starts, found.first)
-                for d in range(b - a):
-                    mine = range(first[d], first[d + 1])
-                    spans.append([{"start": int(starts[i] - found.first[d]), "end": int(ends[i] - found.first[d])} for i in mine])
-                    if keep:
-                        low, high = offsets[a + d] - offsets[a], offsets[a + d + 1] - offsets[a]
-                        if batch.column(1)[a + d].as_py() is None:
-                            kept.append(None)
-                            continue
-                        parts = []
-                        for i in mine:
-                            parts.append(own[low : found.starts[starts[i]]].tobytes())
-                            low = found.ends[ends[i] - 1]
-                        kept.append(b"".join([*parts, own[low:high].tobytes()]).decode())
-                names = [sorted(x for x in own_items if x is not None) for own_items in items]
-                columns = [batch.column(0).slice(a, b - a), pa.array(found.counts, pa.int64()), pa.array(spans, pa.list_(arrow_span)), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if keep else [])], ["id", "n_words", "spans", "items", *["kept"] * keep])
-
-    return df.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(shard, schema).withColumnRenamed("id", id)
+    arrow_type = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(arrow_span)), ("items", pa.list_(pa.string())), ("kept", pa.string())])
+
+    def shard(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        found, hit, items = hits(data, offsets, blocks)
+        step = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+        starts, ends = np.flatnonzero(step > 0), np.flatnonzero(step < 0)
+        # A run that goes on into the next document is cut there.
+        cuts = found.first[1:-1]
+        cuts = cuts[(cuts > 0) & (cuts < len(hit))]
+        both = cuts[hit[cuts] & hit[cuts - 1]] if len(hit) else cuts
+        starts, ends = np.unique(np.concatenate([starts, both])), np.unique(np.concatenate([ends, both]))
+        first = np.searchsorted(starts, found.first)
+        spans, kept = [], []
+        for d in range(len(offsets) - 1):
+            mine = range(first[d], first[d + 1])
+            spans.append([{"start": int(starts[i] - found.first[d]), "end": int(ends[i] - found.first[d])} for i in mine])
+            if not keep or not mine:
+                kept.append(texts[d].as_py() if keep else None)
+                continue
+            low, parts = offsets[d], []
+            for i in mine:
+                parts.append(data[low : found.starts[starts[i]]].tobytes())
+                low = found.ends[ends[i] - 1]
+            kept.append(b"".join([*parts, data[low : offsets[d + 1]].tobytes()]).decode())
+        names = [sorted(x for x in own if x is not None) for own in items]
+        columns = [pa.array(found.counts, pa.int64()), pa.array(spans, pa.list_(arrow_span)), pa.array(names, pa.list_(pa.string())), pa.array(kept, pa.string())]
+        return pa.StructArray.from_arrays(columns, fields=list(arrow_type))
+
+    @F.arrow_udf(found_type)
+    def scanned(texts: pa.Array) -> pa.Array:
+        data, offsets = W.buffers(texts)
+        out = [shard(texts.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in W.chunks(np.diff(offsets))]
+        return pa.concat_arrays(out) if out else pa.array([], arrow_type)
+
+    names = ["n_words", "spans", "items", *["kept"] * keep]
+    own = [F.col(f"`{c}`") for c in df.columns if c not in names] if keep else [F.col(id)]
+    return df.select(*own, scanned(F.col(text)).alias("__found")).select(*[f"`{c.strip('`')}`" for c in (df.columns if keep else [id]) if c not in names], *[F.col(f"__found.{c}") for c in names])
 
 
 def judged(found: DataFrame) -> DataFrame:

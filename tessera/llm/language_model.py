@@ -167,8 +167,9 @@ def score(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text")
 
     The model is learned from the whole texts of all rows for which ``train`` holds (null: does not). A-Z are lower-cased;
     tokens are the words ``[^\\x20\\x09-\\x0D]+`` and one end for each text; null texts count as empty. ``n_known`` counts
-    tokens with a training count, ``train_tokens`` all training tokens, ``base_score`` sums log10 P(token), ``score``
-    log10 P(token | token before) with the text's start before its first. log10 P(token) is that of (c + 0.1) / (N + 0.1 * (V + 1)). Repeated rows stay, each with its own score.
+    tokens with a training count, ``train_tokens`` all training tokens, ``base_score`` sums log10 P(token), where
+    P(token) = (c + 0.1) / (N + 0.1 * (V + 1)), and ``score`` log10 P(token | token before), with the text's start before
+    its first. Repeated rows stay, each with its own score.
 
     Words are told apart by 64 bits; in bigrams a context has 45 bits and a successor 32 within it. Nothing is gathered on
     the driver but the text's total size.
