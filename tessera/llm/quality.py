@@ -134,6 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", text
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["weights", "bias"])
 
     row = rows.select("text", "label").coalesce(1).mapInArrow(learn, "weights binary, bias double").first()
+    if row is None:
+        return Model(np.zeros(1 << settings.bits), 0.0, settings.bits)
     return Model(np.frombuffer(row["weights"]).copy(), row["bias"], settings.bits)
 
 
