@@ -80,10 +80,12 @@ def scalars(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
 
 def value_counts(df: DataFrame, fields: Sequence[T.StructField], order: str | None = None) -> DataFrame:
     """``ordinal, name, value, count, first`` of each distinct text of the fields; ``first`` is its smallest ``order``."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("name"), rendered(f).alias("value")) for i, f in enumerate(fields)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), rendered(f).alias("value")) for i, f in enumerate(fields)])
     number = _at(order) if order else F.lit(None).cast("long")
     long = df.select(number.alias("__n"), F.explode(pairs).alias("__p")).select("__n", "__p.*")
-    return long.groupBy("ordinal", "name", "value").agg(F.count(F.lit(1)).alias("count"), F.min("__n").alias("first"))
+    counted = long.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("count"), F.min("__n").alias("first"))
+    names = F.array(*[F.lit(f.name) for f in fields])
+    return counted.select("ordinal", F.get(names, F.col("ordinal")).alias("name"), "value", "count", "first")
 
 
 def top(counts: DataFrame, n: int) -> DataFrame:

@@ -6,12 +6,15 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.types import arrow_name, leaves
 from tessera.plans import ordinals
 from tessera.sources import csv, footers, xlsx
 from tessera.sources.storage import Storage
 
+#: Files whose footers the driver reads one by one; of more files Spark counts the rows.
+FEW = 100
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".tsv": "csv", ".xlsx": "xlsx"}
 
 
@@ -55,16 +58,20 @@ class Table:
         """Of a Parquet input's files, in their order."""
         return [footers.footer(self.storage, path, size) for path, size in self.files]
 
+    @cached_property
+    def first_footer(self):
+        return footers.footer(self.storage, *self.files[0])
+
     @cached_property
     def count(self) -> int:
-        """Rows; of Parquet from the footers alone."""
-        return sum(f.num_rows for f in self.footers) if self.format == "parquet" else self.frame.count()
+        """Rows; of Parquet from the footers alone, on the driver for a few files."""
+        return sum(f.num_rows for f in self.footers) if self.format == "parquet" and len(self.files) <= FEW else self.frame.count()
 
     @cached_property
     def fields(self) -> list[tuple[str, str, bool]]:
-        """(name, Arrow type, nullable) of each column, of Parquet as the footer has them."""
+        """(name, Arrow type, nullable) of each column, of Parquet as the first file's footer has them."""
         if self.format == "parquet":
-            return [(f.name, str(f.type), f.nullable) for f in self.footers[0].schema.to_arrow_schema()]
+            return [(f.name, str(f.type), f.nullable) for f in self.first_footer.schema.to_arrow_schema()]
         return [(f.name, self._opened[1].get(f.name) or arrow_name(f.dataType), True) for f in self.frame.schema]
 
     @property
@@ -74,10 +81,18 @@ class Table:
     def numbered(self, name: str = ordinals.ORDINAL) -> DataFrame:
         """The frame with each row's number from 0, in the order of files and rows.
 
-        Parquet rows get it from their file's place and their own place in the file; no job runs for it.
+        Parquet rows get it from their file's place and their own place in the file. Of a few files the footers tell the
+        places; of many one scan without columns counts, and the starts are joined.
         """
         if self.format != "parquet":
             return ordinals.dense(self.frame, name)
+        if len(self.files) > FEW:
+            path = F.col("_metadata.file_path")
+            counts = self.frame.groupBy(path.alias("__file")).agg(F.count(F.lit(1)).alias("__rows"))
+            before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+            starts = counts.select("__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+            tagged = self.frame.withColumns({"__file": path, "__at": F.col("_metadata.row_index")})
+            return tagged.join(starts, "__file").withColumn(name, F.col("__start") + F.col("__at")).drop("__file", "__at", "__start")
         begin, starts = 0, {}
         for (path, _), found in zip(self.files, self.footers, strict=True):
             starts[path.rpartition("/")[2]] = begin
