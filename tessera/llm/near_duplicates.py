@@ -328,6 +328,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
     return pairs.join(left, "a").join(right, "b").where(linked("left", "right")).select("a", "b")
 
 
+def roots(links: DataFrame) -> DataFrame:
+    """``node, component`` of a forest in which each b has one link to an a < b: for each node the top of its tree.
+
+    Every round each node takes its parent's parent, so paths halve; a round's rows are the nodes.
+    """
+    parents = cut(links.select(F.col("b").alias("node"), F.col("a").alias("component")))
+    while True:
+        above = parents.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        new = cut(parents.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"), F.col("above").isNotNull().alias("moved")))
+        parents = new.select("node", "component")
+        if not new.where("moved").head(1):
+            return parents
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: for each end of an edge (a, b) the smallest node reachable. Each round's labels are cut.
 
@@ -362,27 +376,32 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Sett
     some = signed.where("n > 0")
     sets = some.groupBy("one", "two", "n").agg(F.min("doc").alias("rep"))
     member = some.select("doc", "one", "two", "n").distinct().join(sets, ["one", "two", "n"]).select("doc", "rep")
-    own = some.join(sets.select(F.col("rep").alias("doc"), "one", "two", "n"), ["doc", "one", "two", "n"], "left_semi").dropDuplicates(["doc"])
-    pairs = cut(candidates(own.select("doc", "n", "firsts", "tokens"), settings))
+    # A set's row is that of its smallest document; the join and the removal of repeats share one exchange by document.
+    chosen = sets.select(F.col("rep").alias("doc"), F.col("one").alias("rep_one"), F.col("two").alias("rep_two"))
+    own = some.join(chosen, "doc").where("one = rep_one and two = rep_two").dropDuplicates(["doc"])
+    own = cut(own.select("doc", "n", "firsts", "tokens"))
+    pairs = cut(candidates(own, settings))
 
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = cut(rows.join(ends, "doc").join(own.select("doc", "one", "two"), "doc").dropDuplicates(["doc"]).select("doc", "text"))
+    texts = cut(rows.join(ends, "doc").dropDuplicates(["doc"]))
     first = pairs.where("sure").groupBy("b").agg(F.min("a").alias("a"))
-    links = cut(confirmed(first, texts, settings))
-    near = components(links)
+    near = roots(confirmed(first, texts, settings))
 
-    def root(column: str) -> DataFrame:
-        return near.select(F.col("node").alias(column), F.col("component").alias(f"{column}_root"))
+    def rooted(edges: DataFrame) -> DataFrame:
+        """The edges between the trees of the forest."""
+        for end in ("a", "b"):
+            tops = near.select(F.col("node").alias(end), F.col("component").alias(f"top_{end}"))
+            edges = edges.join(tops, end, "left").withColumn(f"top_{end}", F.coalesce(f"top_{end}", end))
+        return edges.where("top_a <> top_b")
 
-    apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    apart = apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-    more = cut(confirmed(apart, texts, settings))
+    apart = rooted(pairs).join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
     # A document under one id with several texts belongs to the sets of all of them.
     least = member.groupBy("doc").agg(F.min("rep").alias("a"))
     shared_ids = member.join(least, "doc").where("a <> rep").select("a", F.col("rep").alias("b"))
-    last = components(links.union(more).union(shared_ids))
-    label = member.join(last.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    label = label.groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    between = rooted(confirmed(apart, texts, settings).union(shared_ids)).select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))
+    last = components(between).select(F.col("node").alias("top"), F.col("component").alias("least"))
+    label = member.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("top"))
+    label = label.join(last, "top", "left").groupBy("doc").agg(F.min(F.coalesce("least", "top")).alias("component"))
     out = signed.select("doc", "n").join(label, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("doc").alias(id), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
