@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,6 +49,31 @@ def release() -> None:
 atexit.register(release)
 
 
+#: Bits of the filter before a join: 8 MB, whatever the input's size.
+FILTER_BITS = 26
+
+
+def maybe_in(keys: DataFrame, key: str) -> Column:
+    """True for every row whose column ``key`` is in ``keys``, and for few others while ``keys`` has far fewer than 67 million.
+
+    A bitmap of hashed keys, built in parts by the executors, spares the join that follows the rows that find no partner.
+    It never drops one that does; where it fills up, it only drops fewer.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    part = 1 << 15  # of bitmap_construct_agg
+    table = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for row in keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / part).alias("p")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(part))).alias("bits")).collect():
+        table[row["p"] * part // 8 : (row["p"] + 1) * part // 8] = np.frombuffer(row["bits"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def hit(places: pa.Array) -> pa.Array:
+        k = places.to_numpy()
+        return pa.array((shared.value[k >> 3] >> (k & 7) & 1).astype(bool))
+
+    return hit(at)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

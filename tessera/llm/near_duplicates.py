@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.frames import cut, partitions
+from tessera.llm.frames import cut, maybe_in, partitions
 
 NO_ID = (1 << 63) - 1
 
@@ -383,7 +383,8 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Sett
     pairs = cut(candidates(own, settings))
 
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = cut(rows.join(ends, "doc").dropDuplicates(["doc"]))
+    ends = cut(ends)
+    texts = cut(rows.where(maybe_in(ends, "doc")).join(ends, "doc").dropDuplicates(["doc"]))
     first = pairs.where("sure").groupBy("b").agg(F.min("a").alias("a"))
     near = roots(confirmed(first, texts, settings))
 

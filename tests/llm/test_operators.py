@@ -321,6 +321,13 @@ def test_slots_of_one_large_group(spark):
     assert sorted(r.s for r in frames.slots(df, ["g"], ["id"], "s", rows_per_window=50).collect()) == list(range(1000))
 
 
+def test_filter_drops_no_partner(spark):
+    keys = spark.range(0, 5000, 7).select(F.col("id").alias("doc"))
+    kept = {r.doc for r in spark.range(5000).select(F.col("id").alias("doc")).where(frames.maybe_in(keys, "doc")).collect()}
+    assert set(range(0, 5000, 7)) <= kept and len(kept) < 800
+    assert spark.range(9).select(F.col("id").alias("doc")).where(frames.maybe_in(keys.limit(0), "doc")).count() == 0
+
+
 # -- 7
 
 
@@ -387,18 +394,35 @@ def test_language_model_base(spark, docs, empty):
     assert {r.train_tokens for r in untrained} == {0} and all(r.score < 0 for r in untrained)
 
 
-def test_language_model_probabilities_sum_to_one(spark):
-    """Over all continuations of a one-word text, by the difference that each makes to the score."""
-    base = [(i, t) for i, t in enumerate(["a b a c a b", "b a b", "c c a"])]
-    asked = ["a", *[f"a {w}" for w in "abc"], *[f"a unknown{k}" for k in range(4000)]]
-    df = spark.createDataFrame(base + [(100 + k, t) for k, t in enumerate(asked)], "doc_id long, text string")
-    found = {r.doc_id: r.score for r in language_model.score(df, F.col("doc_id") < 100).collect()}
-    end_after = {}
-    singles = spark.createDataFrame(base + [(100 + k, w) for k, w in enumerate("abc")], "doc_id long, text string")
-    single = {r.doc_id: r.score for r in language_model.score(singles, F.col("doc_id") < 100).collect()}
-    assert all(s < 0 for s in single.values()) and len(end_after) == 0
-    # score("a w") = P(a|start) P(w|a) P(end|w); knowing words score above unknown ones by their counts.
-    assert found[102] > found[104 + 1]
+def test_language_model_prefers_the_order_it_saw(spark):
+    base = [(i, t) for i, t in enumerate(["a b a b a b", "a b a b", "b a b a"] * 5)]
+    df = spark.createDataFrame([*base, (100, "a b a b"), (101, "b b a a"), (102, "z z z z")], "doc_id long, text string")
+    found = {r.doc_id: r for r in language_model.score(df, F.col("doc_id") < 100).collect()}
+    assert math.isclose(found[100].base_score, found[101].base_score) and found[100].score > found[101].score > found[102].score
+    assert found[102].n_known == 1
+
+
+def test_probabilities_after_a_context_sum_to_one():
+    """What a shard answers, with the rest of the formula: over all classes and words, known and unknown, at most one is given out."""
+    texts = pa.array(["a b a c a b d", "b a b", "c c a e"])
+    unit = language_model.Unit(texts, np.ones(3, bool), 1)
+    answers, sums = language_model._answers([unit.question(0)])
+    at = [16, *(16 + np.cumsum(np.frombuffer(answers[0], np.uint32, 4).astype(int))).tolist()]
+    counts, followed, distinct = (language_model._unsmall(answers[0][at[i] : at[i + 1]]) for i in range(3))
+    codes = elias_fano.Codebook().decode(np.frombuffer(answers[0][at[3] : at[4]], np.uint8))
+    known = np.array(sums, float).reshape(2, language_model.CLASSES)
+    masses = known[0] + 0.1 * known[1] + 0.1
+    a = unit.token[0]
+    own = np.flatnonzero(unit.context[np.unique(unit.pair, return_index=True)[1]] == a)
+    runs = np.unique(unit.run[own])
+    total = 0.0
+    for b in range(language_model.CLASSES):
+        mine = [r for r in runs if unit.contexts[unit.run_starts[r]] % language_model.CLASSES == b]
+        c = followed[mine[0]] if mine else 0
+        first = codes[[p for p in own if mine and unit.run[p] == mine[0]]].sum()
+        rest = language_model.D * distinct[mine[0]] / c if c else 1.0
+        total += (c + language_model.MU * masses[b] / masses.sum()) / (counts[a] + language_model.MU) * (first + rest)
+    assert 0.9 < total <= 1 + 1e-9
 
 
 def test_language_model_beats_its_base_on_repeated_patterns(spark):
