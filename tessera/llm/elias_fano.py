@@ -6,7 +6,10 @@ import tempfile
 
 import numpy as np
 
-_LANES = np.arange(64, dtype=np.uint64)
+#: Of each byte: its ones, and the place of its k-th one.
+_BYTES = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.uint8)
+_ONES = _BYTES.sum(1).astype(np.uint8)
+_PLACE = np.argsort(1 - _BYTES, axis=1, kind="stable").astype(np.uint8)
 
 
 class EliasFano:
@@ -43,14 +46,19 @@ class EliasFano:
         self.low, self.high = arrays
 
     def _select(self, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+        """The place of the k-th one (or zero) of the high bits: its word by bisection, its byte and bit by tables."""
         out = np.empty(len(k), np.int64)
         for a in range(0, len(k), 1 << 16):
             mine = k[a : a + (1 << 16)]
             word = np.searchsorted(before, mine, "right") - 1
             bits = np.asarray(self.high[word])
-            bits = ((~bits if flip else bits)[:, None] >> _LANES) & np.uint64(1)
-            rank = np.cumsum(bits.astype(np.uint8), axis=1, dtype=np.uint8)
-            out[a : a + (1 << 16)] = word * 64 + (rank == (mine - before[word] + 1)[:, None]).argmax(1)
+            parts = (~bits if flip else bits).view(np.uint8).reshape(-1, 8)
+            until = np.cumsum(_ONES[parts], axis=1, dtype=np.uint8)
+            rank = (mine - before[word]).astype(np.uint8)
+            byte = (until <= rank[:, None]).sum(1)
+            row = np.arange(len(mine))
+            rank -= np.where(byte > 0, until[row, byte - 1], 0).astype(np.uint8)
+            out[a : a + (1 << 16)] = word * 64 + byte * 8 + _PLACE[parts[row, byte], rank]
         return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -73,18 +81,22 @@ class EliasFano:
         place, equal = np.full(len(x), self.n), np.zeros(len(x), bool)
         inside = np.flatnonzero(high <= self.top)
         h = high[inside]
-        begin = np.zeros(len(inside), np.int64)
+        # The values with the same high bits lie between two zeros; among them, which may be many, by bisection.
+        at = np.zeros(len(inside), np.int64)
         later = h > 0
-        begin[later] = self._select(self.zeros_before, h[later] - 1, True) + 1 - h[later]
+        at[later] = self._select(self.zeros_before, h[later] - 1, True) + 1 - h[later]
         end = self._select(self.zeros_before, h, True) - h
-        at, going = begin.copy(), np.flatnonzero(begin < end)
-        while len(going):  # over the values with the same high bits, a few at most on average
-            found = self._low(at[going])
-            wanted = low[inside[going]]
-            equal[inside[going[found == wanted]]] = True
-            going = going[found < wanted]
-            at[going] += 1
-            going = going[at[going] < end[going]]
+        until = end.copy()
+        wanted = low[inside]
+        going = np.flatnonzero(at < until)
+        while len(going):
+            middle = (at[going] + until[going]) >> 1
+            less = self._low(middle) < wanted[going]
+            at[going[less]] = middle[less] + 1
+            until[going[~less]] = middle[~less]
+            going = going[at[going] < until[going]]
+        there = np.flatnonzero(at < end)
+        equal[inside[there]] = self._low(at[there]) == wanted[there]
         place[inside] = at
         return place, equal
 
@@ -136,13 +148,15 @@ class BigramTrie:
             part.replace(mapped[k : k + 2])
         self.codes = mapped[6]
 
-    def look_up(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The code of each pair, 0 where the pair is not there."""
+    def look_up(self, contexts: np.ndarray, runs: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The code of each word after its context, 0 where it is not there; each context has ``runs`` of the words."""
         out = np.zeros(len(words), np.uint8)
         place, known = self.first.successor(contexts)
-        known = np.flatnonzero(known)
-        at = place[known]
-        begin, end = self.pointers.access(at), self.pointers.access(at + 1)
+        at = np.where(known, place, 0)
+        begin, end = self.pointers.access(at).astype(np.int64), self.pointers.access(at + 1).astype(np.int64)
+        asked = known & (begin < end)
+        known = np.flatnonzero(np.repeat(asked, runs))
+        at, begin, end = (np.repeat(x[asked], runs[asked]) for x in (at, begin, end))
         found, equal = self.second.successor((at.astype(np.uint64) << np.uint64(self.WORD_BITS)) | words[known].astype(np.uint64))
         equal &= (found >= begin) & (found < end)
         out[known[equal]] = self.codes[found[equal]]

@@ -154,7 +154,7 @@ def _answers(questions: list[bytes]) -> tuple[list[bytes], list[int]]:
     out, word_at, run_at = [], 0, 0
     for w, _, c, successors, s, _ in parts:
         mine = runs[run_at : run_at + len(c)]
-        body = [_small(counts[places[word_at : word_at + len(w)]]), _small(followed[mine]), _small(distinct[mine]), trie.look_up(np.repeat(c, successors), s).tobytes()]
+        body = [_small(counts[places[word_at : word_at + len(w)]]), _small(followed[mine]), _small(distinct[mine]), trie.look_up(c, successors, s).tobytes()]
         out.append(struct.pack("<4I", *map(len, body)) + b"".join(body))
         word_at, run_at = word_at + len(w), run_at + len(c)
     of = class_of(words)
@@ -179,7 +179,7 @@ def score(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units = max(partitions(spark), -(-total // UNIT_BYTES))
     shards = units
-    dealt = rows.withColumn("unit", F.pmod(F.xxhash64("doc", "text"), F.lit(units)).cast("int"))
+    dealt = rows.withColumn("unit", F.pmod(F.xxhash64("doc", "text"), F.lit(units)).cast("int")).repartition(units, "unit")
 
     def ask(table: pa.Table) -> pa.Table:
         unit = Unit(W.as_text(table.column("text")), table.column("train").to_numpy(), shards)
@@ -201,7 +201,8 @@ def score(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text")
     # The sums refer to every column, so that both uses of the answers read one exchange.
     each = answered.groupBy("shard").agg(F.max("sums").alias("sums"), F.sum(F.octet_length("answer") + F.col("unit")).alias("used"))
     all_sums = each.agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(2 * CLASSES)]).alias("all_sums"), F.sum("used").alias("used"))
-    with_sums = answered.crossJoin(F.broadcast(all_sums))  # one row
+    for_each = all_sums.select(F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("unit"), "all_sums", "used")
+    with_sums = answered.join(for_each, "unit", "left")  # an inner join would put a filter below one of the two uses
 
     def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
         unit = Unit(W.as_text(texts.column("text")), texts.column("train").to_numpy(), shards)
