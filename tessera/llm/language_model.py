@@ -30,7 +30,7 @@ from tessera.llm.elias_fano import BigramTrie, Codebook
 from tessera.llm.frames import partitions
 
 #: Text of a unit, about.
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 8 << 20
 MU, D = 4.0, 0.75
 #: Hashes that stand for the start and the end of a text (fixed values).
 START, END = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
