@@ -2,13 +2,15 @@
 
 The parts that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments) go first, by element, role and class. Over what is left each node's density is its characters for each tag,
-adjusted by its links; the node whose children's densities have the largest sum holds the article.
+adjusted by its links; the node whose children's densities have the largest sum holds the article. What stands beside it,
+on each level up to the body, belongs to the article where it is about as dense, or is prose that touches such a part.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 from math import e, log
 
@@ -35,6 +37,10 @@ IMPLIED = {
     "option": (["option"], ["select"]),
 }
 
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that articles are made of; a div or section may hold anything.
+PROSE = HEADINGS | set("p ul ol dl blockquote pre table figure address hr".split())
+
 #: Elements, roles and words of class or id that mark what is not the article (fixed values).
 DROPPED = set("nav header footer aside form script style noscript template iframe object svg math canvas audio video button select textarea input dialog menu head title noembed noframes search fieldset label".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -52,7 +58,7 @@ class _Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.until, self.dropped, self.suspect = ["#root"], [-1], [0], [False], [False]
-        self.segments: list[tuple[int, int, str]] = []  # node, block, text
+        self.segments: list[tuple[int, int, str, int]] = []  # node, block, text, number of nodes begun before it
         self.stack, self.block = [0], 0
         self._parse(html)
         while self.stack:
@@ -94,7 +100,7 @@ class _Page:
 
     def _text(self, text: str, decode: bool = True) -> None:
         if text:
-            self.segments.append((self.stack[-1], self.block, unescape(text) if decode and "&" in text else text))
+            self.segments.append((self.stack[-1], self.block, unescape(text) if decode and "&" in text else text, len(self.tag)))
 
     def _open(self, name: str, attributes: str) -> None:
         if name in CLOSES_P:
@@ -128,6 +134,102 @@ class _Page:
                 return
 
 
+@dataclass
+class _Part:
+    """A child of a node on the path, or its own text with the inline elements in it."""
+
+    loose: bool
+    prose: bool
+    core: bool
+    chars: int = 0
+    links: int = 0
+    tags: int = 0
+    nodes: list[int] = field(default_factory=list)
+    segments: list[int] = field(default_factory=list)
+
+
+def _article(page: _Page, best: int, body: int, chars: list[int], links: list[int], tags: list[int]) -> list[bool]:
+    """For each segment whether it stands in the article, of which ``best`` is a part or the whole.
+
+    The innermost element on the path from the best node to the body that says it is the article is one. Without one, the
+    path sets a threshold: half the characters for each tag of its sparsest node, linked ones counted as their opposite.
+    (Composite densities grow with a node's size, so that a paragraph's and a whole article's do not compare.) On each level
+    parts that reach it belong to the article, and of the others those without many links that stand between such parts, or
+    are prose and touch them.
+    """
+    n = len(page.tag)
+    path = [best]
+    while path[-1] > 0 and path[-1] != body:
+        path.append(page.parent[path[-1]])
+    named = next((i for i in path if page.tag[i] in ("article", "main")), None)
+    inside = [False] * n
+    kept = [False] * len(page.segments)
+
+    def take(i: int) -> None:
+        inside[i : page.until[i]] = [True] * (page.until[i] - i)
+
+    take(best if named is None else named)
+    if named is None and len(path) > 1:
+        threshold = min((chars[i] - 2 * links[i]) / max(1, tags[i]) for i in path) / 2
+        own: dict[int, list[int]] = {i: [] for i in path[1:]}
+        for k, (node, *_) in enumerate(page.segments):
+            if node in own:
+                own[node].append(k)
+        for on, i in zip(path, path[1:], strict=False):
+            parts = _parts(page, i, on, own[i], chars, links, tags)
+            for p in parts:
+                p.core = p.core or p.chars - 2 * p.links >= max(1.0, threshold * p.tags)
+            core = [k for k, p in enumerate(parts) if p.core]
+            first, last = core[0], core[-1]
+            while first > 0 and parts[first - 1].prose and 2 * parts[first - 1].links <= parts[first - 1].chars:
+                first -= 1
+            while last + 1 < len(parts) and parts[last + 1].prose and 2 * parts[last + 1].links <= parts[last + 1].chars:
+                last += 1
+            for p in parts[first : last + 1]:
+                if p.core or 2 * p.links <= p.chars:
+                    for c in p.nodes:
+                        take(c)
+                    for k in p.segments:
+                        kept[k] = True
+    return [k or inside[node] for k, (node, *_) in zip(kept, page.segments, strict=True)]
+
+
+def _parts(page: _Page, i: int, on: int, own: list[int], chars: list[int], links: list[int], tags: list[int]) -> list[_Part]:
+    """What node i holds, in page order; ``on`` is its child on the path. Dropped and empty children are left out."""
+    items = [(page.segments[k][3], 0, k) for k in own]
+    c = i + 1
+    while c < page.until[i]:
+        if not page.dropped[c] and chars[c]:
+            items.append((c, 1, c))
+        c = page.until[c]
+    parts: list[_Part] = []
+    block = None
+    for _, is_node, k in sorted(items):
+        loose = not is_node or k != on and not any(t in BLOCK for t in page.tag[k : page.until[k]])
+        if not loose:
+            parts.append(_Part(False, page.tag[k] in PROSE, k == on, chars[k], links[k], tags[k], [k]))
+            block = None
+            continue
+        if not is_node:
+            if not page.segments[k][2].strip():
+                if parts and parts[-1].loose:
+                    parts[-1].segments.append(k)
+                continue
+            if not parts or not parts[-1].loose or block not in (None, page.segments[k][1]):  # a block began or ended since
+                parts.append(_Part(True, True, False, tags=1))
+            block = page.segments[k][1]
+        elif not parts or not parts[-1].loose:
+            parts.append(_Part(True, True, False, tags=1))
+        p = parts[-1]
+        if is_node:
+            p.chars, p.links, p.tags = p.chars + chars[k], p.links + links[k], p.tags + tags[k]
+            p.nodes.append(k)
+        else:
+            p.chars += sum(map(len, page.segments[k][2].split()))
+            p.segments.append(k)
+    return parts
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: blocks in page order joined by one line feed, white space within a block as one space.
 
@@ -153,7 +255,7 @@ def main_text(html: str | None) -> str:
         if not page.dropped[i]:
             tags[i] = 1
             link_tags[i] = int(page.tag[i] == "a")
-    for node, _, text in page.segments:
+    for node, _, text, _ in page.segments:
         if not page.dropped[node]:
             k = sum(map(len, text.split()))
             own[node] += k
@@ -178,26 +280,11 @@ def main_text(html: str | None) -> str:
         if not page.dropped[i]:
             sums[page.parent[i]] += densities[i]
     best = max((i for i in range(n) if not page.dropped[i] and chars[i]), key=lambda i: (sums[i], i), default=0)
-    # The path from the body down to the best node sets the threshold: while what stands around the best node is as dense
-    # as the sparsest node of the path, it belongs to the article. An element that says it is the article is one.
-    path = [best]
-    while path[-1] > 0 and path[-1] != body:
-        path.append(page.parent[path[-1]])
-    threshold = min(densities[i] for i in path)
-    for i in path:
-        if page.tag[i] in ("article", "main"):
-            best = i
-            break
-    else:
-        for i in path[1:]:
-            rest, rest_tags, rest_links = chars[i] - chars[best], max(1, tags[i] - tags[best]), links[i] - links[best]
-            if i in (0, body) or (rest and (rest - 2 * rest_links) / rest_tags < threshold):
-                break
-            best = i
+    kept = _article(page, best, body, chars, links, tags)
     out: list[str] = []
     last = None
-    for node, block, text in page.segments:
-        if best <= node < page.until[best] and not page.dropped[node]:
+    for k, (node, block, text, _) in enumerate(page.segments):
+        if kept[k] and not page.dropped[node]:
             if block == last:
                 out[-1] += text
             else:

@@ -92,6 +92,29 @@ def test_html_without_article_element():
     assert found[0] == "Head" and len(found) == 3
 
 
+def prose(name, n):
+    return [f"{name}{i} " + " ".join(["words"] * 49) for i in range(n)]
+
+
+def paragraphs(blocks):
+    return "".join(f"<p>{b}</p>" for b in blocks)
+
+
+LINKS = "<div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div>"
+
+
+@pytest.mark.parametrize("around", ["{}", "<div id=wrap>{}</div>", "<div id=outer><div id=wrap>{}</div></div>"])
+def test_html_article_split_over_siblings(around):
+    a, b, c = prose("a", 3), prose("b", 8), prose("c", 5)
+    page = "<body>" + LINKS + around.format("<h2>Head</h2>" + paragraphs(a) + "<div>" + paragraphs(b) + "</div>Loose <b>words</b> end.<div>" + paragraphs(c) + "</div><p>The end.</p>") + LINKS + "<div>by me</div></body>"
+    assert html.main_text(page).split("\n") == ["Head", *a, *b, "Loose words end.", *c, "The end."]
+
+
+def test_html_direct_paragraphs_beside_a_part():
+    a, b = prose("a", 5), prose("b", 8)
+    assert html.main_text("<body>" + paragraphs(a) + "<div>" + paragraphs(b) + "</div></body>").split("\n") == [*a, *b]
+
+
 @pytest.mark.parametrize("page", [None, "", "<html>", "<nav>x</nav>", "<!-- x", "<script>x"])
 def test_html_empty(page):
     assert html.main_text(page) == ""
