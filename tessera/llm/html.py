@@ -1,7 +1,7 @@
 """Main text of HTML pages by composite text density.
 
 The parts that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) go first, by element, role and class. Over what is left each node's density is its characters for each tag,
+comments) go first, by element, role and name (see :data:`HINTS`). Over what is left each node's density is its characters for each tag,
 adjusted by its links; the node whose children's densities have the largest sum holds the article. What stands beside it,
 on each level up to the body, belongs to the article where it is about as dense, or is prose that touches such a part.
 """
@@ -44,10 +44,18 @@ PROSE = HEADINGS | set("p ul ol dl blockquote pre table figure address hr".split
 #: Elements, roles and words of class or id that mark what is not the article (fixed values).
 DROPPED = set("nav header footer aside form script style noscript template iframe object svg math canvas audio video button select textarea input dialog menu head title noembed noframes search fieldset label".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: A class or id made of such words, alone or with words of BESIDE, names a part that is left out. A name that only has one
+#: of them, or is one of TOPICS, which are titles of sections as well, does so where most of the part's text is linked. Names
+#: count neither on headings nor where the part holds most of the page's text.
 HINTS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion toolbar pagination pager copyright disclaimer outbrain taboola".split()
 )
 
+BESIDE = set("site main global top bottom left right primary secondary list box bar block area wrap wrapper container inner outer link links button buttons icon icons item items posts stories slot unit form thread zone".split())
+TOPICS = set("discussion related recommended recommendations copyright disclaimer reply replies social share sharing promotion consent subscription alert notice notices".split())
+#: Names of what readers wrote, which may be longer than an article that stands elsewhere on the page.
+READERS = set("comment comments commentlist respond disqus".split())
+
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -57,7 +65,7 @@ class _Page:
     """The nodes of a page in page order: node i's subtree is i to ``until[i] - 1``."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.until, self.dropped, self.suspect = ["#root"], [-1], [0], [False], [False]
+        self.tag, self.parent, self.until, self.dropped, self.suspect = ["#root"], [-1], [0], [False], [""]
         self.segments: list[tuple[int, int, str, int]] = []  # node, block, text, number of nodes begun before it
         self.stack, self.block = [0], 0
         self._parse(html)
@@ -118,9 +126,10 @@ class _Page:
         self.parent.append(self.stack[-1])
         self.until.append(0)
         self.dropped.append(name in DROPPED)
-        words = {w.lower() for w in _CAMEL.findall(found.get("class", "") + " " + found.get("id", ""))} if found else set()
-        hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-        self.suspect.append(name not in ("html", "body") and bool(words & HINTS or found.get("role", "").lower() in ROLES or hidden))
+        suspicion = "" if not found or name in ("html", "body") else _suspicion(name, found)
+        if suspicion not in ("", "hidden") and any(self.tag[i] in ("pre", "code") for i in self.stack):  # names of code's parts
+            suspicion = ""
+        self.suspect.append(suspicion)
         self.stack.append(len(self.tag) - 1)
 
     def _close(self, name: str, barriers: list[str] | None = None) -> None:
@@ -134,6 +143,62 @@ class _Page:
                 return
 
 
+def _suspicion(tag: str, attributes: dict[str, str]) -> str:
+    """What an element's attributes say of its text: "hidden", or named as a whole "furniture" or "readers", or "partly" so."""
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
+        return "hidden"
+    found = "furniture" if attributes.get("role", "").lower() in ROLES else ""
+    if tag in HEADINGS:
+        return found
+    for name in [*attributes.get("class", "").split(), attributes.get("id", "")]:
+        words = {w.lower() for w in _CAMEL.findall(name) if not w.isdigit()}
+        hints = words & HINTS
+        if not hints:
+            continue
+        if words <= HINTS | BESIDE and not words <= TOPICS:
+            if hints & READERS:
+                return "readers"
+            found = "furniture"
+        else:
+            found = found or "partly"
+    return found
+
+
+def _leave_out(page: _Page) -> None:
+    """Mark as dropped what is below a dropped node, and the suspects that their text does not clear."""
+    n = len(page.tag)
+    inner = [0] * (n + 1)  # elements that hold or head an article, before each node
+    linked = [False] * n
+    for i in range(n):
+        if i and page.dropped[page.parent[i]]:
+            page.dropped[i] = True
+        linked[i] = i > 0 and (linked[page.parent[i]] or page.tag[i] == "a")
+        inner[i + 1] = inner[i] + (page.tag[i] in ("article", "main", "h1") and not page.dropped[i])
+    if not any(page.suspect):
+        return
+    chars, links = [0] * n, [0] * n
+    for node, _, text, _ in page.segments:
+        if not page.dropped[node]:
+            k = sum(map(len, text.split()))
+            chars[node] += k
+            links[node] += k * linked[node]
+    for i in range(n - 1, 0, -1):
+        p = page.parent[i]
+        chars[p], links[p] = chars[p] + chars[i], links[p] + links[i]
+    for i in range(1, n):
+        if page.dropped[page.parent[i]]:
+            page.dropped[i] = True
+        elif page.suspect[i]:
+            # A hint on an element around the article (say, "sidebar") says nothing about the article in it.
+            around = inner[page.until[i]] - inner[i + 1]
+            # Nor does one on most of the text, if it is not what readers say of an article elsewhere.
+            most = 2 * chars[i] > chars[0] and not (page.suspect[i] == "readers" and inner[n] > inner[page.until[i]] - inner[i])
+            if page.suspect[i] == "hidden":
+                most = False
+            if not around and not most and (page.suspect[i] != "partly" or 2 * links[i] > chars[i]):
+                page.dropped[i] = True
+
+
 @dataclass
 class _Part:
     """A child of a node on the path, or its own text with the inline elements in it."""
@@ -240,14 +305,7 @@ def main_text(html: str | None) -> str:
         return ""
     page = _Page(html)
     n = len(page.tag)
-    # A hint on an element around the article (say, "with-sidebar") says nothing about the article in it.
-    inner = [0] * (n + 1)
-    for i in range(n):
-        inner[i + 1] = inner[i] + (page.tag[i] in ("article", "main", "h1") and not page.dropped[i])
-    for i in range(1, n):
-        around = inner[page.until[i]] - inner[i + 1]
-        if page.dropped[page.parent[i]] or page.suspect[i] and not around:
-            page.dropped[i] = True
+    _leave_out(page)
     chars, links, tags, link_tags, own = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     linked = [False] * n
     for i in range(1, n):

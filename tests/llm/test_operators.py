@@ -110,6 +110,49 @@ def test_html_article_split_over_siblings(around):
     assert html.main_text(page).split("\n") == ["Head", *a, *b, "Loose words end.", *c, "The end."]
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section id="discussion"><p>{}</p></section>',
+        '<h2 id="comments">Comments</h2><p>{}</p>',
+        '<h2 id="related-work">Related work</h2><p>{}</p>',
+        '<div class="section-header"><h2>Methods</h2></div><p>{}</p>',
+        '<div class="related-work"><p>{}</p></div>',
+        '<pre><span class="comment">{}</span></pre>',
+        '<section id="copyright"><h2>Copyright</h2><p>{}</p></section>',
+    ],
+)
+def test_html_names_of_sections_are_kept(part):
+    a, b = prose("a", 2), prose("b", 1)[0]
+    page = "<body><article><h1>Head</h1>" + paragraphs(a) + part.format(b) + "</article></body>"
+    assert html.main_text(page).split("\n") == ["Head", *a, *re.findall("<h2.*?>(.*?)</h2>", part), b]
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "header-fixed", "header", "banner", "ad-free"])
+def test_html_names_around_most_text_are_kept(name):
+    a = prose("a", 4)
+    assert html.main_text(f'<body><div class="{name}"><h2>Head</h2>' + paragraphs(a) + "</div><div>by me</div></body>").split("\n") == ["Head", *a]
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="sidebar-left"><p>{}</p></div>',
+        '<div id="siteFooter"><p>{}</p></div>',
+        '<div class="x cookie-notice"><p>{}</p></div>',
+        '<div class="post-related-links"><a href=1>{}</a></div>',
+        '<div id="related"><a href=1>{}</a></div>',
+        '<div role="navigation"><p>{}</p></div>',
+        '<h2 hidden>{}</h2>',
+        '<section id="comments"><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p></section>',
+    ],
+)
+def test_html_furniture_is_left_out(part):
+    a = prose("a", 3)
+    page = "<body><article><h1>Head</h1>" + paragraphs(a) + part.format(prose("b", 1)[0]) + "</article></body>"
+    assert html.main_text(page).split("\n") == ["Head", *a]
+
+
 def test_html_direct_paragraphs_beside_a_part():
     a, b = prose("a", 5), prose("b", 8)
     assert html.main_text("<body>" + paragraphs(a) + "<div>" + paragraphs(b) + "</div></body>").split("\n") == [*a, *b]
