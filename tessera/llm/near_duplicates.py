@@ -123,8 +123,8 @@ def _signatures(settings: Settings):
 class _Found:
     """Candidate pairs of one task."""
 
-    def __init__(self, settings: Settings, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray):
-        self.s, self.ids, self.sizes, self.tokens = settings, ids, sizes, tokens
+    def __init__(self, settings: Settings, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, labels: np.ndarray | None = None):
+        self.s, self.ids, self.sizes, self.tokens, self.labels = settings, ids, sizes, tokens, labels
         self.a: list[np.ndarray] = []
         self.b: list[np.ndarray] = []
         self.sure: list[np.ndarray] = []
@@ -142,7 +142,10 @@ class _Found:
         return np.where(self.s.per * low >= self.s.share * high, same, 0.0)
 
     def branch(self, rows: np.ndarray, tree: int, level: int) -> None:
-        if len(rows) <= self.s.small:
+        leaf = len(rows) <= self.s.small or level == self.s.depth
+        if leaf and self.labels is not None:
+            self.across(rows)
+        elif len(rows) <= self.s.small:
             self.compare(rows)
         elif level == self.s.depth:
             self.lead(rows)
@@ -217,6 +220,26 @@ class _Found:
                             break
 
 
+    def across(self, rows: np.ndarray) -> None:
+        """All pairs of a leaf between documents of different labels, in blocks: each label's with those of larger ones."""
+        _, group, size = np.unique(self.labels[rows], return_inverse=True, return_counts=True)
+        order = np.lexsort((group, size[group]))
+        rows, group = rows[order], group[order]
+        n = len(rows)
+        cuts = np.concatenate([np.flatnonzero(np.diff(group)) + 1, [n]])
+        end = np.repeat(cuts, np.diff(np.concatenate([[0], cuts])))
+        step = max(1, 50_000 // n)
+        for at in range(0, n, step):
+            low = int(end[at])
+            if low == n:
+                break
+            i, j = np.nonzero(np.arange(low, n)[None, :] >= end[at : at + step, None])
+            a, b = rows[at + i], rows[low + j]
+            same = self.estimate(a, b)
+            keep = same >= self.s.unsure
+            self.add(a[keep], b[keep], same[keep] >= self.s.sure)
+
+
 def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest row reachable from each of a small node's rows."""
     label = np.arange(n)
@@ -229,8 +252,11 @@ def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new[new]
 
 
-def _candidates(settings: Settings):
-    """From rows (node, tree, level, doc, n, tokens) in the order of node: candidate pairs."""
+def _candidates(settings: Settings, labelled: bool = False):
+    """From rows (node, tree, level, doc, n, tokens, and label if labelled) in the order of node: candidate pairs.
+
+    Of labelled rows all pairs in leaves that differ in the label; of others see :meth:`_Found.compare` and ``lead``.
+    """
     kind = "node tree level doc n tokens".split()
 
     def answer(table: pa.Table) -> pa.RecordBatch:
@@ -240,12 +266,15 @@ def _candidates(settings: Settings):
         width = settings.trees * settings.depth
         offset = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset] if len(flat) else 0
         tokens = np.frombuffer(flat.buffers()[2], np.uint8)[offset : offset + len(flat) * width * 2].view(np.uint16).reshape(-1, width)
-        found = _Found(settings, ids, sizes, tokens)
+        labels = table.column("label").to_numpy() if labelled else None
+        found = _Found(settings, ids, sizes, tokens, labels)
         begin = np.concatenate([[0], np.flatnonzero((np.diff(node) != 0) | (np.diff(tree) != 0)) + 1, [len(node)]])
         counts = np.diff(begin)
         two = begin[:-1][counts == 2]  # most nodes: compared all at once
         same = found.estimate(two, two + 1)
         keep = same >= settings.unsure
+        if labels is not None:
+            keep &= labels[two] != labels[two + 1]
         found.add(two[keep], two[keep] + 1, same[keep] >= settings.sure)
         for k in np.flatnonzero(counts > 2):
             found.branch(np.arange(begin[k], begin[k + 1]), int(tree[begin[k]]), int(level[begin[k]]))
@@ -273,9 +302,8 @@ def _candidates(settings: Settings):
     return mapped
 
 
-def candidates(nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs ``a < b`` of ``doc`` in ``nodes`` (doc, n, firsts, tokens) that meet in a leaf of a tree and look alike: ``a, b, sure``."""
-    spark = nodes.sparkSession
+def placed(nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
+    """``tree, node, doc, level`` of nodes with more than one and at most ``hot`` documents; those of larger last-level ones."""
     slim = nodes.select("doc", F.posexplode("firsts").alias("tree", "node")).withColumn("level", F.lit(1))
     ready = None
     for level in range(1, settings.depth + 1):
@@ -284,16 +312,24 @@ def candidates(nodes: DataFrame, settings: Settings) -> DataFrame:
         part = sized.where(F.col("size") <= settings.hot).drop("size")
         ready = part if ready is None else ready.unionByName(part)
         if not counts.where(F.col("size") > settings.hot).head(1):
-            large = None
-            break
+            return cut(ready), None
         large = cut(sized.where(F.col("size") > settings.hot).drop("size"))
         if level < settings.depth:
             # Two bytes of the tree's next token, taken from the document's row, extend the path.
             at = (F.col("tree") * settings.depth + level) * 2 + 1
             token = F.hex(F.substring(F.col("tokens"), at, F.lit(2)))
             slim = large.join(nodes.select("doc", "tokens"), "doc").select("doc", "tree", F.xxhash64("node", token).alias("node"), F.lit(level + 1).alias("level"))
+    return cut(ready), large
+
+
+def candidates(nodes: DataFrame, ready: DataFrame, large: DataFrame | None, settings: Settings) -> DataFrame:
+    """Pairs ``a < b`` of ``doc`` in ``nodes`` (doc, n, tokens) that meet in a leaf of a tree and look alike: ``a, b, sure``.
+
+    Of pairs that surely linked documents make needless only some are given; :func:`remaining` has the others, should links
+    turn out to be missing.
+    """
     rows = ready.join(nodes.select("doc", "n", "tokens"), "doc").select("node", "tree", "level", "doc", "n", "tokens")
-    rows = rows.repartition(partitions(spark), "node", "tree").sortWithinPartitions("node", "tree", "doc")
+    rows = rows.repartition(partitions(nodes.sparkSession), "node", "tree").sortWithinPartitions("node", "tree", "doc")
     pairs = rows.mapInArrow(_candidates(settings), "a long, b long, sure boolean")
     if large is not None:
         # Documents that agree on all levels of a tree and are too many for a task: each is paired with the smallest.
@@ -303,6 +339,30 @@ def candidates(nodes: DataFrame, settings: Settings) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
+def remaining(nodes: DataFrame, ready: DataFrame, large: DataFrame | None, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs ``a < b`` that meet in a leaf, look alike and differ in the label, none left out; ``labels`` has ``doc, label, failed``.
+
+    Only nodes in which :func:`candidates` left any out are read: those with a failed link, and those it did not compare
+    exhaustively. Last-level nodes of more than ``hot`` documents are cut into blocks, and each two blocks meet in a task.
+    """
+    key = ["tree", "node"]
+
+    def apart(rows: DataFrame) -> DataFrame:
+        found = rows.join(labels, "doc")
+        facts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("failed").alias("any"))
+        return found.drop("failed").join(facts.where(f"low < high and (any or size > {settings.small})").select(*key, "size"), key)
+
+    rows = apart(ready).drop("size")
+    if large is not None:
+        blocks = F.ceil(2 * F.col("size") / settings.hot)
+        cut_up = apart(large).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(1)), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        both = F.xxhash64("node", F.least("block", "with"), F.greatest("block", "with"))
+        rows = rows.unionByName(cut_up.withColumn("node", both).withColumn("level", F.lit(settings.depth)).select(rows.columns))
+    rows = rows.join(nodes.select("doc", "n", "tokens"), "doc").select("node", "tree", "level", "doc", "n", "tokens", "label")
+    rows = rows.repartition(partitions(nodes.sparkSession), "node", "tree").sortWithinPartitions("node", "tree", "doc")
+    return rows.mapInArrow(_candidates(settings, True), "a long, b long, sure boolean").select("a", "b").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are linked; ``texts`` has ``doc, text``."""
     share, per, size = settings.share, settings.per, settings.shingle
@@ -369,6 +429,7 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Sett
 
     Equal sets become one node before anything is compared, so copies make no pairs. Links are confirmed in two steps:
     first one for each document, to its smallest likely partner, then all candidates between groups that are still apart.
+    Pairs that seemed needless are decided last, if they stand between groups that the confirmed links leave apart.
     """
     settings = settings or Settings()
     rows = df.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -380,11 +441,14 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Sett
     chosen = sets.select(F.col("rep").alias("doc"), F.col("one").alias("rep_one"), F.col("two").alias("rep_two"))
     own = some.join(chosen, "doc").where("one = rep_one and two = rep_two").dropDuplicates(["doc"])
     own = cut(own.select("doc", "n", "firsts", "tokens"))
-    pairs = cut(candidates(own, settings))
+    ready, large = placed(own, settings)
+    pairs = cut(candidates(own, ready, large, settings))
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ends = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
+        return cut(rows.where(maybe_in(ends, "doc")).join(ends, "doc").dropDuplicates(["doc"]))
 
-    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    ends = cut(ends)
-    texts = cut(rows.where(maybe_in(ends, "doc")).join(ends, "doc").dropDuplicates(["doc"]))
+    texts = texts_of(pairs)
     first = pairs.where("sure").groupBy("b").agg(F.min("a").alias("a"))
     near = roots(confirmed(first, texts, settings))
 
@@ -401,8 +465,25 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Sett
     shared_ids = member.join(least, "doc").where("a <> rep").select("a", F.col("rep").alias("b"))
     between = rooted(confirmed(apart, texts, settings).union(shared_ids)).select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))
     last = components(between).select(F.col("node").alias("top"), F.col("component").alias("least"))
-    label = member.join(near.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("top"))
-    label = label.join(last, "top", "left").groupBy("doc").agg(F.min(F.coalesce("least", "top")).alias("component"))
+    label = own.select("doc").join(near.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("top"))
+    label = cut(label.join(last, "top", "left").select("doc", F.coalesce("least", "top").alias("label")))
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            edges = edges.join(label.select(F.col("doc").alias(end), F.col("label").alias(f"label_{end}")), end)
+        return edges.where("label_a <> label_b")
+
+    # A candidate whose ends are apart now has failed: what it made needless was not.
+    failed = labelled(pairs).select(F.explode(F.array("a", "b")).alias("doc")).distinct().withColumn("failed", F.lit(True))
+    marks = cut(label.join(failed, "doc", "left").select("doc", "label", F.coalesce("failed", F.lit(False)).alias("failed")))
+    more = cut(remaining(own, ready, large, marks, settings).join(pairs, ["a", "b"], "left_anti"))
+    top = None
+    if more.head(1):
+        joined = labelled(confirmed(more, texts_of(more), settings)).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        top = components(joined).select(F.col("node").alias("label"), F.col("component").alias("top"))
+    label = member.join(label.withColumnRenamed("doc", "rep"), "rep")
+    label = label.withColumn("top", F.col("label")) if top is None else label.join(top, "label", "left").withColumn("top", F.coalesce("top", "label"))
+    label = label.groupBy("doc").agg(F.min("top").alias("component"))
     out = signed.select("doc", "n").join(label, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("doc").alias(id), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))

@@ -611,6 +611,24 @@ def test_near_duplicates_large_group_and_chain(spark):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in found) == near_groups(rows)
 
 
+@pytest.mark.parametrize("limits", [{"small": 2}, {"small": 2, "hot": 9}, {"small": 64, "sure": 0.3}])
+def test_near_duplicates_failed_links_are_replaced(spark, limits):
+    # Estimates from few tokens mislead, so that many a first choice (leader's, nearest, smallest or forest link) fails.
+    draw = random.Random(3)
+    rows = []
+    for _ in range(2):
+        w = text_of(draw, 90, 9999).split()
+        for _ in range(60):
+            for _ in range(draw.randrange(1, 3)):
+                w[draw.randrange(len(w))] = f"n{draw.randrange(9999)}"
+            rows.append((0, " ".join(w)))
+    ids = draw.sample(range(1000), len(rows))
+    rows = [(i, t) for i, (_, t) in zip(ids, rows, strict=True)]
+    settings = near_duplicates.Settings(depth=1, trees=12, unsure=0.01, **limits)
+    found = near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string"), settings=settings).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in found) == near_groups(rows)
+
+
 def test_near_duplicates_repeated_and_null_ids(spark, empty):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "A B C d e f g"), (None, None), (3, "x"), (4, "X"), (5, "")]
     got = sorted(str(tuple(r)) for r in near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
