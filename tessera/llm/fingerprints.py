@@ -17,7 +17,7 @@ from tessera.llm.frames import cut, partitions
 #: Bits that vote together: three counters of LANE bits in a long, so LANE longs count 3 * LANE bits.
 LANE = 21
 WORD_BITS = 3 * LANE
-#: Terms counted in one set of counters, so that no counter runs over.
+#: Terms of one row counted in one set of counters, so that no counter runs over.
 CHUNK_TERMS = (1 << LANE) - 1
 LANES = (1 << 2 * LANE) | (1 << LANE) | 1
 SEPARATORS = r"[ \t-\r]+"
@@ -37,14 +37,16 @@ def fingerprints(df: DataFrame, keys: list[str], texts: list[str], words: int =
     Rows that agree on ``keys`` must agree on ``texts`` and become one; ``copies`` counts them, and as each adds the same
     votes the bits are those of one. Texts are read whole; a text without words has all bits 0. Equal texts have equal bits.
     """
-    rows = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.col(t).alias("text")) for i, t in enumerate(texts)])).alias("__t"))
-    terms = rows.select(*keys, F.col("__t.of").alias("__of"), F.posexplode_outer(term_hashes(F.col("__t.text"))).alias("__at", "__term"))
+    # Rows that repeat their keys have counters of their own, or many of them would run over together.
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    rows = rows.select(*keys, "__row", F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.col(t).alias("text")) for i, t in enumerate(texts)])).alias("__t"))
+    terms = rows.select(*keys, "__row", F.col("__t.of").alias("__of"), F.posexplode_outer(term_hashes(F.col("__t.text"))).alias("__at", "__term"))
     terms = terms.withColumn("__chunk", F.floor(F.coalesce(F.col("__at"), F.lit(0)) / CHUNK_TERMS))
     sums = []
     for w in range(words):
         source = F.col("__term") if w == 0 else F.xxhash64(F.col("__term"), F.lit(w))
         sums += [F.sum(F.shiftrightunsigned(source, i).bitwiseAND(F.lit(LANES))).alias(f"__s{w}_{i}") for i in range(LANE)]
-    counted = terms.groupBy(*keys, "__of", "__chunk").agg(F.count("__term").alias("__n"), F.count_if(F.coalesce(F.col("__at"), F.lit(0)) == 0).alias("__copies"), *sums)
+    counted = terms.groupBy(*keys, "__row", "__of", "__chunk").agg(F.count("__term").alias("__n"), F.count_if(F.coalesce(F.col("__at"), F.lit(0)) == 0).alias("__copies"), *sums)
 
     def lane(column: Column, k: int) -> Column:
         return F.shiftrightunsigned(column, k * LANE).bitwiseAND(F.lit(CHUNK_TERMS))

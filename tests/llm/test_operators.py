@@ -241,6 +241,14 @@ def test_fingerprint_counts_run_over_no_lane(spark, monkeypatch):
     assert fingerprints.fingerprints(df, ["id"], ["t"]).select("t_bits").collect() != [] and want[0].copies == 1
 
 
+def test_fingerprints_of_many_copies_run_over_no_lane(spark, monkeypatch):
+    for name, value in {"LANE": 5, "WORD_BITS": 15, "CHUNK_TERMS": 31, "LANES": 1 << 10 | 1 << 5 | 1}.items():
+        monkeypatch.setattr(fingerprints, name, value)
+    text = "a b c d e f g h i j"
+    one, many = (fingerprints.fingerprints(spark.createDataFrame([(1, text)] * n, "id long, t string"), ["id"], ["t"]).collect() for n in (1, 40))
+    assert many[0].t_bits == one[0].t_bits and (one[0].copies, many[0].copies) == (1, 40)
+
+
 def test_fingerprints_repeated_null_and_single(spark, empty):
     rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, None), (2, "x y z")]
     found = fingerprints.compare_with_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
