@@ -17,14 +17,21 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that driver and executors share. Only local sessions, as in tests, may leave it unset and get a temporary one."""
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that the driver and all executors can reach")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession

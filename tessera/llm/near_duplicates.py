@@ -1,8 +1,13 @@
 """Near-duplicate groups by a chosen-path set similarity join on word shingles.
 
-Independent trees branch documents by selected minwise tokens: a document follows, in each tree, the tokens of its shingle
-set that are smallest under the tree's hash functions, one for each level. Small nodes are compared exhaustively, larger
-ones branch again. Comparisons estimate similarity from the tokens of all trees; links are then confirmed on full sets.
+Independent trees branch documents by selected minwise tokens. A node chooses a third more than one of its level's hash
+functions on average (1 / 0.75), and a document follows the token that is smallest under each; a pair at the threshold so
+keeps meeting in about one child of each node where it meets, however deep the tree. Small nodes are compared exhaustively.
+Comparisons inside trees estimate similarity from all tokens; links are then confirmed on full sets.
+
+Nodes never become pairs outside a task. First each document's likeliest partners are confirmed, at most two for each
+document. Then the leaves whose documents are still in different groups get the full sets, and a task compares all pairs of
+a leaf between those groups exactly, so what an estimate or a failed link hid inside a leaf is decided there.
 """
 
 from __future__ import annotations
@@ -12,22 +17,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.frames import cut, maybe_in, partitions
+from tessera.llm.frames import cut, maybe_in, partitions, quoted
 
 NO_ID = (1 << 63) - 1
+#: Kinds of a task's findings: a likely link to the smallest sure partner, one to the nearest partner, a leaf's member.
+SURE, NEAREST, MEMBER = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Settings:
     """Sets of ``shingle`` words are linked if ``per`` * intersection >= ``share`` * union.
 
-    A pair at the threshold meets in a node of depth d of one tree with probability (share / per) ** d. Nodes of up to
-    ``small`` documents are leaves; few are deeper than 3, and 12 trees then miss such a pair with probability
-    (1 - 0.75 ** 3) ** 12 = 0.0014, a pair that meets at depth 1 with 6e-8, and closer pairs more rarely still.
+    A pair at the threshold of 0.75 meets at depth d of one tree with probability of about 0.75 / (1 + 0.14 * (d - 1)):
+    0.75 at the first level, 0.58 at the third, 0.33 at the tenth and last. 12 trees miss it with probabilities of 6e-8,
+    3e-5 and 0.008; closer pairs are missed more rarely. Few leaves are deeper than the third level.
     """
 
     shingle: int = 5
@@ -35,13 +42,21 @@ class Settings:
     per: int = 100
     trees: int = 12
     depth: int = 10
+    #: Documents that a leaf compares exhaustively by estimates.
     small: int = 64
-    #: Documents in a first-level node beyond which Spark, not a task, branches it.
+    #: Documents of a node that a task branches; Spark branches nodes with more.
     hot: int = 20_000
-    #: Pairs whose estimate is below ``unsure`` are no candidates, those above ``sure`` are taken to be linked until
-    #: confirmed. Both are three standard deviations of an estimate from 120 tokens away from 0.75.
+    #: Pairs whose estimate is below ``unsure`` are no candidates of a small leaf, those above ``sure`` are tried first. Both
+    #: are three standard deviations of an estimate from 120 tokens away from 0.75.
     unsure: float = 0.63
     sure: float = 0.87
+    #: Mean similarity at which branching separates nothing, so that a node is a leaf whatever its size.
+    tight: float = 0.7
+    #: Documents with which the others of a large leaf are first compared.
+    leaders: int = 16
+    #: Documents and shingles, about, of a block of a leaf that is compared on full sets.
+    block_docs: int = 400
+    block_shingles: int = 1 << 20
 
 
 def shingles(words: W.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +95,21 @@ def _each(batches: Iterator[pa.RecordBatch], text: int, settings: Settings):
             yield batch.slice(a, b - a), *distinct(*shingles(words, settings.shingle))
 
 
+def _bytes_of(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets from 0) of a binary column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 def _signatures(settings: Settings):
-    """For each text: set size, a 128-bit hash of the set, the first token of each tree, 16 bits of every level's token."""
+    """For each text: set size, a 128-bit hash of the set, the first token of each tree, 16 bits of every level's tokens."""
     draw = np.random.default_rng(20)
     masks = draw.integers(0, 1 << 63, settings.trees * settings.depth, dtype=np.uint64)
 
@@ -90,20 +118,18 @@ def _signatures(settings: Settings):
             counts = np.diff(offsets)
             some = np.flatnonzero(counts)
             starts = offsets[:-1][some]
-            one, two = np.zeros((2, len(counts)), np.uint64)
+            one, two = _digest(sets, offsets)
             tokens = np.zeros((len(counts), len(masks)), np.uint16)
             firsts = np.zeros((len(counts), settings.trees), np.uint64)
             if len(some):
-                one[some] = np.add.reduceat(W.mix(sets), starts)
-                two[some] = np.add.reduceat(W.mix(sets + np.uint64(1)), starts)
                 for j, mask in enumerate(masks):
                     v = (sets ^ mask) * np.uint64(0x9E3779B97F4A7C15)
                     v ^= v >> np.uint64(32)
                     v *= np.uint64(0xD6E8FEB86659FD93)
                     least = np.minimum.reduceat(v, starts)
                     tokens[some, j] = (W.mix(least) >> np.uint64(48)).astype(np.uint16)
-                    if j % settings.depth == 0:
-                        firsts[some, j // settings.depth] = W.mix(least + np.uint64(j))
+                    if j < settings.trees:
+                        firsts[some, j] = W.mix(least + np.uint64(j))
             size = tokens.shape[1] * 2
             yield pa.RecordBatch.from_arrays(
                 [
@@ -120,20 +146,37 @@ def _signatures(settings: Settings):
     return mapped
 
 
-class _Found:
-    """Candidate pairs of one task."""
+def _digest(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell sets apart; 0 for empty ones."""
+    one, two = np.zeros((2, len(offsets) - 1), np.uint64)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        one[some] = np.add.reduceat(W.mix(sets), offsets[:-1][some])
+        two[some] = np.add.reduceat(W.mix(sets + np.uint64(1)), offsets[:-1][some])
+    return one, two
+
+
+def _sets(settings: Settings):
+    """Each text's 128-bit hash and its set: the sorted hashes of its shingles."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets, offsets in _each(batches, 1, settings):
+            one, two = _digest(sets, offsets)
+            values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(one), [None, pa.py_buffer(offsets * 8), pa.py_buffer(sets.tobytes())])
+            columns = [batch.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(offsets), pa.int64()), values.cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "one", "two", "n", "set"])
+
+    return mapped
+
 
-    def __init__(self, settings: Settings, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, labels: np.ndarray | None = None):
-        self.s, self.ids, self.sizes, self.tokens, self.labels = settings, ids, sizes, tokens, labels
-        self.a: list[np.ndarray] = []
-        self.b: list[np.ndarray] = []
-        self.sure: list[np.ndarray] = []
+class _Trees:
+    """Branches the nodes of one task and gathers what it finds."""
 
-    def add(self, a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> None:
-        if len(a):
-            self.a.append(np.minimum(self.ids[a], self.ids[b]))
-            self.b.append(np.maximum(self.ids[a], self.ids[b]))
-            self.sure.append(sure)
+    def __init__(self, settings: Settings, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray):
+        self.s, self.ids, self.sizes, self.tokens = settings, ids, sizes, tokens
+        self.pairs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # small leaf, rows, rows, estimates
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []  # x, y, estimate, kind
+        self.leaves = 0
 
     def estimate(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of rows a and b, 0 where the sizes alone rule a link out."""
@@ -141,107 +184,109 @@ class _Found:
         low, high = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
         return np.where(self.s.per * low >= self.s.share * high, same, 0.0)
 
-    def branch(self, rows: np.ndarray, tree: int, level: int) -> None:
-        leaf = len(rows) <= self.s.small or level == self.s.depth
-        if leaf and self.labels is not None:
-            self.across(rows)
-        elif len(rows) <= self.s.small:
-            self.compare(rows)
-        elif level == self.s.depth:
-            self.lead(rows)
-        else:
-            token = self.tokens[rows, tree * self.s.depth + level]
-            order = np.argsort(token, kind="stable")
-            cuts = np.flatnonzero(np.diff(token[order])) + 1
-            for part in np.split(rows[order], cuts):
-                if len(part) > 1:
-                    self.branch(part, tree, level + 1)
-
-    def compare(self, rows: np.ndarray) -> None:
-        """All pairs of a small node; of documents surely linked already only as many as connect them."""
+    def branch(self, rows: np.ndarray, level: int, path: int) -> None:
+        open_ = [(rows, level, path)]
+        while open_:
+            rows, level, path = open_.pop()
+            if len(rows) <= self.s.small:
+                self.small(rows)
+            elif level >= self.s.depth or self.tight(rows):
+                self.large(rows)
+            else:
+                for c in self.chosen(path, level):
+                    token = self.tokens[rows, c]
+                    order = np.argsort(token, kind="stable")
+                    cuts = np.flatnonzero(np.diff(token[order])) + 1
+                    for part in np.split(rows[order], cuts):
+                        if len(part) > 1:
+                            open_.append((part, level + 1, hash((path, c, int(self.tokens[part[0], c])))))
+
+    def chosen(self, path: int, level: int) -> list[int]:
+        """One or two of the level's hash functions, per / share on average, drawn by the node's path."""
+        draw = int(W.mix(np.array([path & (1 << 63) - 1], np.uint64))[0])
+        one, rest = draw % self.s.trees, draw // self.s.trees
+        out = [level * self.s.trees + one]
+        if self.s.trees > 1 and rest % self.s.share < self.s.per - self.s.share:
+            out.append(level * self.s.trees + (one + 1 + rest // self.s.share % (self.s.trees - 1)) % self.s.trees)
+        return out
+
+    def tight(self, rows: np.ndarray) -> bool:
+        """Whether two of the rows agree on most tokens, on average over a fifth of the hash functions."""
+        shares = []
+        for c in range(0, self.tokens.shape[1], 5):
+            counts = np.unique(self.tokens[rows, c], return_counts=True)[1]
+            shares.append((counts.astype(float) ** 2).sum() / len(rows) ** 2)
+        return float(np.mean(shares)) >= self.s.tight
+
+    def small(self, rows: np.ndarray) -> None:
         i, j = np.triu_indices(len(rows), 1)
-        same = self.estimate(rows[i], rows[j])
-        sure = same >= self.s.sure
-        self.add(rows[i[sure]], rows[j[sure]], sure[sure]) if len(rows) <= 3 else self._forest(rows, i[sure], j[sure])
-        group = _components(len(rows), i[sure], j[sure])
-        open_ = (same >= self.s.unsure) & ~sure & (group[i] != group[j])
-        self.add(rows[i[open_]], rows[j[open_]], np.zeros(open_.sum(), bool))
-
-    def _forest(self, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-        """Each row's pair with the smallest of its sure partners, and the pairs needed to connect what that leaves apart."""
-        a, b = np.where(self.ids[rows[i]] <= self.ids[rows[j]], i, j), np.where(self.ids[rows[i]] <= self.ids[rows[j]], j, i)
-        order = np.lexsort((self.ids[rows[a]], self.ids[rows[b]]))
-        a, b = a[order], b[order]
-        parent = np.arange(len(rows))
-
-        def top(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        keep = np.zeros(len(a), bool)
-        for k in range(len(a)):
-            p, q = top(a[k]), top(b[k])
-            if p != q:
-                parent[q] = p
-                keep[k] = True
-        self.add(rows[a[keep]], rows[b[keep]], np.ones(keep.sum(), bool))
-
-    def lead(self, rows: np.ndarray) -> None:
-        """A large node of documents that agree on every level's token, so most are linked to each other.
-
-        Each document joins the first leader to which it is surely linked or becomes a leader. Groups whose leaders are too
-        far apart for any link between them (by the triangle inequality of the Jaccard distance, with a margin) are left;
-        between others that are still apart, each document is paired with its nearest in the other group.
+        self.compare(rows[i], rows[j], np.zeros(len(i), np.int64))
+
+    def compare(self, a: np.ndarray, b: np.ndarray, leaf: np.ndarray) -> None:
+        """Note the candidates among pairs of leaves 0, 1, ... that are numbered on from those before."""
+        same = self.estimate(a, b)
+        keep = same >= self.s.unsure
+        if keep.any():
+            self.pairs.append((leaf[keep] + self.leaves, a[keep], b[keep], same[keep]))
+        self.leaves += int(leaf[-1]) + 1 if len(leaf) else 0
+
+    def large(self, rows: np.ndarray, leaf: int | None = None) -> None:
+        """A leaf of many: each of some leaders is compared with all rows; what that misses is left to the full sets.
+
+        All rows are members, as any of them may be linked to any other.
         """
         rows = rows[np.argsort(self.ids[rows], kind="stable")]
-        groups: list[np.ndarray] = []
-        rest = rows
-        while len(rest):
-            same = self.estimate(np.full(len(rest), rest[0]), rest)
-            near = same >= self.s.sure
-            near[0] = True
-            groups.append(rest[near])
-            self.add(np.full(near.sum() - 1, rest[0]), rest[near][1:], np.ones(near.sum() - 1, bool))
-            rest = rest[~near]
-        reach = 1 - (1 - self.s.share / self.s.per) - 2 * (1 - self.s.sure) - 0.12
-        leaders = np.array([g[0] for g in groups])
-        for x in range(len(groups)):
-            close = (self.tokens[leaders[x + 1 :]] == self.tokens[leaders[x]]).mean(-1) >= reach if x + 1 < len(groups) else []
-            for y in np.flatnonzero(close) + x + 1:
-                small, large = sorted((groups[x], groups[y]), key=len)
-                for row in small:
-                    same = self.estimate(np.full(len(large), row), large)
-                    k = int(same.argmax())
-                    if same[k] >= self.s.unsure:
-                        self.add(np.array([row]), large[k : k + 1], np.array([same[k] >= self.s.sure]))
-                        if same[k] >= self.s.sure:
-                            break
-
-
-    def across(self, rows: np.ndarray) -> None:
-        """All pairs of a leaf between documents of different labels, in blocks: each label's with those of larger ones."""
-        _, group, size = np.unique(self.labels[rows], return_inverse=True, return_counts=True)
-        order = np.lexsort((group, size[group]))
-        rows, group = rows[order], group[order]
-        n = len(rows)
-        cuts = np.concatenate([np.flatnonzero(np.diff(group)) + 1, [n]])
-        end = np.repeat(cuts, np.diff(np.concatenate([[0], cuts])))
-        step = max(1, 50_000 // n)
-        for at in range(0, n, step):
-            low = int(end[at])
-            if low == n:
+        rest = np.ones(len(rows), bool)
+        best, partner, least = np.zeros(len(rows)), np.full(len(rows), -1), np.full(len(rows), -1)
+        for _ in range(self.s.leaders):
+            left = np.flatnonzero(rest)
+            if not len(left):
                 break
-            i, j = np.nonzero(np.arange(low, n)[None, :] >= end[at : at + step, None])
-            a, b = rows[at + i], rows[low + j]
-            same = self.estimate(a, b)
-            keep = same >= self.s.unsure
-            self.add(a[keep], b[keep], same[keep] >= self.s.sure)
+            k = left[0]
+            same = self.estimate(np.full(len(rows), rows[k]), rows)
+            same[k] = 0.0
+            better = same > best
+            best[better], partner[better] = same[better], k
+            first = (same >= self.s.sure) & (least < 0) & (np.arange(len(rows)) > k)
+            least[first] = k
+            rest[k] = False
+            rest &= same < self.s.sure
+        ids = self.ids[rows]
+        sure, near = np.flatnonzero(least >= 0), np.flatnonzero(best >= self.s.unsure)
+        self.found.append((ids[least[sure]], ids[sure], np.ones(len(sure)), SURE))
+        self.found.append((ids[partner[near]], ids[near], best[near], NEAREST))
+        if leaf is None:
+            leaf = int((W.mix(ids.astype(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(ids))).view(np.int64))
+        self.found.append((np.full(len(ids), leaf), ids, np.zeros(len(ids)), MEMBER))
+
+    def settle(self) -> None:
+        """Turn the candidates of all small leaves into findings; a leaf's unconnected parts become leaves of their own."""
+        if not self.pairs:
+            return
+        leaf, a, b, same = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
+        vertex, at = np.unique(np.concatenate([leaf * len(self.ids) + a, leaf * len(self.ids) + b]), return_inverse=True)
+        ids = self.ids[vertex % len(self.ids)]
+        i, j = at[: len(a)], at[len(a) :]
+        part = _components(len(vertex), i, j)
+        order = np.argsort(part, kind="stable")
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1])
+        sizes = np.diff(np.concatenate([begin, [len(order)]]))
+        # Named by its members, a leaf that several trees find is one.
+        names = np.add.reduceat(W.mix(ids[order].astype(np.uint64)), begin) + sizes.astype(np.uint64)
+        self.found.append((np.repeat(names.view(np.int64), sizes), ids[order], np.zeros(len(order)), MEMBER))
+        x, y, same = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([same, same])
+        order = np.lexsort((ids[x], -same, y))
+        order = order[np.concatenate([[True], np.diff(y[order]) != 0])]
+        self.found.append((ids[x[order]], ids[y[order]], same[order], NEAREST))
+        sure = np.flatnonzero((same >= self.s.sure) & (ids[x] < ids[y]))
+        order = sure[np.lexsort((ids[x[sure]], y[sure]))]
+        if len(order):
+            order = order[np.concatenate([[True], np.diff(y[order]) != 0])]
+        self.found.append((ids[x[order]], ids[y[order]], same[order], SURE))
 
 
 def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row reachable from each of a small node's rows."""
+    """The smallest row reachable from each of n rows."""
     label = np.arange(n)
     while True:
         new = label.copy()
@@ -252,154 +297,219 @@ def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new[new]
 
 
-def _candidates(settings: Settings, labelled: bool = False):
-    """From rows (node, tree, level, doc, n, tokens, and label if labelled) in the order of node: candidate pairs.
-
-    Of labelled rows all pairs in leaves that differ in the label; of others see :meth:`_Found.compare` and ``lead``.
-    """
-    kind = "node tree level doc n tokens".split()
-
-    def answer(table: pa.Table) -> pa.RecordBatch:
-        node, tree, level, ids, sizes = (table.column(c).to_numpy() for c in kind[:5])
-        flat = table.column("tokens").combine_chunks()
-        flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-        width = settings.trees * settings.depth
-        offset = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset] if len(flat) else 0
-        tokens = np.frombuffer(flat.buffers()[2], np.uint8)[offset : offset + len(flat) * width * 2].view(np.uint16).reshape(-1, width)
-        labels = table.column("label").to_numpy() if labelled else None
-        found = _Found(settings, ids, sizes, tokens, labels)
-        begin = np.concatenate([[0], np.flatnonzero((np.diff(node) != 0) | (np.diff(tree) != 0)) + 1, [len(node)]])
-        counts = np.diff(begin)
-        two = begin[:-1][counts == 2]  # most nodes: compared all at once
-        same = found.estimate(two, two + 1)
-        keep = same >= settings.unsure
-        if labels is not None:
-            keep &= labels[two] != labels[two + 1]
-        found.add(two[keep], two[keep] + 1, same[keep] >= settings.sure)
-        for k in np.flatnonzero(counts > 2):
-            found.branch(np.arange(begin[k], begin[k + 1]), int(tree[begin[k]]), int(level[begin[k]]))
-        a, b, sure = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((found.a, np.int64), (found.b, np.int64), (found.sure, bool)))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], ["a", "b", "sure"])
+def _streamed(key: str, limit: int, size, answer):
+    """Hand whole groups of rows that are in the order of ``key`` to ``answer``, as soon as they weigh ``limit`` together."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, weight = [], 0
         for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size < 2 * settings.hot:
-                continue
-            table = pa.Table.from_batches(held)
-            node = table.column("node").to_numpy()
-            other = np.flatnonzero(node != node[-1])
-            whole = int(other[-1]) + 1 if len(other) else 0
-            if whole:
-                yield answer(table.slice(0, whole).combine_chunks())
-            held = table.slice(whole).combine_chunks().to_batches()
-            size = sum(map(len, held))
-        if held:
-            yield answer(pa.Table.from_batches(held).combine_chunks())
+            for part in (batch.slice(a, 4000) for a in range(0, len(batch), 4000)):
+                held.append(part)
+                weight += size(part)
+                if weight < limit:
+                    continue
+                table = pa.Table.from_batches(held)
+                keys = table.column(key).to_numpy()
+                other = np.flatnonzero(keys != keys[-1])
+                whole = int(other[-1]) + 1 if len(other) else 0
+                if whole:
+                    yield from answer(table.slice(0, whole).combine_chunks())
+                held = table.slice(whole).combine_chunks().to_batches()
+                weight = sum(map(size, held))
+        if held and sum(map(len, held)):
+            yield from answer(pa.Table.from_batches(held).combine_chunks())
 
     return mapped
 
 
-def placed(nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
-    """``tree, node, doc, level`` of nodes with more than one and at most ``hot`` documents; those of larger last-level ones."""
-    slim = nodes.select("doc", F.posexplode("firsts").alias("tree", "node")).withColumn("level", F.lit(1))
-    ready = None
-    for level in range(1, settings.depth + 1):
-        counts = slim.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = slim.join(counts, ["tree", "node"])
-        part = sized.where(F.col("size") <= settings.hot).drop("size")
-        ready = part if ready is None else ready.unionByName(part)
-        if not counts.where(F.col("size") > settings.hot).head(1):
-            return cut(ready), None
-        large = cut(sized.where(F.col("size") > settings.hot).drop("size"))
-        if level < settings.depth:
-            # Two bytes of the tree's next token, taken from the document's row, extend the path.
-            at = (F.col("tree") * settings.depth + level) * 2 + 1
-            token = F.hex(F.substring(F.col("tokens"), at, F.lit(2)))
-            slim = large.join(nodes.select("doc", "tokens"), "doc").select("doc", "tree", F.xxhash64("node", token).alias("node"), F.lit(level + 1).alias("level"))
-    return cut(ready), large
-
+def _grow(settings: Settings):
+    """From rows (node, level, leaf, doc, n, tokens) in the order of node: ``x, y, same, kind``.
 
-def candidates(nodes: DataFrame, ready: DataFrame, large: DataFrame | None, settings: Settings) -> DataFrame:
-    """Pairs ``a < b`` of ``doc`` in ``nodes`` (doc, n, tokens) that meet in a leaf of a tree and look alike: ``a, b, sure``.
-
-    Of pairs that surely linked documents make needless only some are given; :func:`remaining` has the others, should links
-    turn out to be missing.
+    Of a likely link x and y are documents, of a member x is the leaf. Rows with a ``leaf`` are a piece of one.
     """
-    rows = ready.join(nodes.select("doc", "n", "tokens"), "doc").select("node", "tree", "level", "doc", "n", "tokens")
-    rows = rows.repartition(partitions(nodes.sparkSession), "node", "tree").sortWithinPartitions("node", "tree", "doc")
-    pairs = rows.mapInArrow(_candidates(settings), "a long, b long, sure boolean")
-    if large is not None:
-        # Documents that agree on all levels of a tree and are too many for a task: each is paired with the smallest.
-        least = large.groupBy("tree", "node").agg(F.min("doc").alias("a"))
-        star = large.join(least, ["tree", "node"]).where("a < doc").select("a", F.col("doc").alias("b"), F.lit(True).alias("sure"))
-        pairs = pairs.unionByName(star)
-    return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
-
-
-def remaining(nodes: DataFrame, ready: DataFrame, large: DataFrame | None, labels: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs ``a < b`` that meet in a leaf, look alike and differ in the label, none left out; ``labels`` has ``doc, label, failed``.
-
-    Only nodes in which :func:`candidates` left any out are read: those with a failed link, and those it did not compare
-    exhaustively. Last-level nodes of more than ``hot`` documents are cut into blocks, and each two blocks meet in a task.
+    width = settings.trees * settings.depth
+
+    def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, level, ids, sizes = (table.column(c).to_numpy() for c in ("node", "level", "doc", "n"))
+        leaf = table.column("leaf").to_numpy(zero_copy_only=False) if table.column("leaf").null_count < len(table) else None
+        tokens = _bytes_of(table.column("tokens"))[0].view(np.uint16).reshape(-1, width)
+        trees = _Trees(settings, ids, sizes, tokens)
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(node) != 0) + 1, [len(node)]])
+        counts = np.diff(begin)
+        whole = np.ones(len(counts), bool) if leaf is None else np.isnan(leaf[begin[:-1]].astype(float))
+        two = begin[:-1][(counts == 2) & whole]  # most nodes: compared all at once
+        trees.compare(two, two + 1, np.arange(len(two)))
+        for k in np.flatnonzero((counts > 2) | ~whole):
+            rows = np.arange(begin[k], begin[k + 1])
+            if whole[k]:
+                trees.branch(rows, int(level[begin[k]]), int(node[begin[k]]))
+            else:
+                trees.large(rows, int(table.column("leaf")[int(begin[k])].as_py()))
+        trees.settle()
+        for x, y, same, kind in trees.found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(same, pa.float64()), pa.array(np.full(len(x), kind, np.int8))], ["x", "y", "same", "kind"])
+
+    return _streamed("node", 2 * settings.hot, len, answer)
+
+
+def placed(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """``node, level, leaf, doc``: the nodes of more than one and at most ``hot`` documents, and pieces of large leaves.
+
+    Larger nodes are branched here, level by level, like the smaller ones in tasks: a node that is ``tight`` or at the last
+    level is a leaf. Its piece holds about ``hot`` documents and the leaf's smallest one, which connects the pieces.
     """
-    key = ["tree", "node"]
-
-    def apart(rows: DataFrame) -> DataFrame:
-        found = rows.join(labels, "doc")
-        facts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("failed").alias("any"))
-        return found.drop("failed").join(facts.where(f"low < high and (any or size > {settings.small})").select(*key, "size"), key)
-
-    rows = apart(ready).drop("size")
-    if large is not None:
-        blocks = F.ceil(2 * F.col("size") / settings.hot)
-        cut_up = apart(large).withColumn("block", F.pmod(F.xxhash64("doc", F.lit(1)), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        both = F.xxhash64("node", F.least("block", "with"), F.greatest("block", "with"))
-        rows = rows.unionByName(cut_up.withColumn("node", both).withColumn("level", F.lit(settings.depth)).select(rows.columns))
-    rows = rows.join(nodes.select("doc", "n", "tokens"), "doc").select("node", "tree", "level", "doc", "n", "tokens", "label")
-    rows = rows.repartition(partitions(nodes.sparkSession), "node", "tree").sortWithinPartitions("node", "tree", "doc")
-    return rows.mapInArrow(_candidates(settings, True), "a long, b long, sure boolean").select("a", "b").distinct()
+    key = F.xxhash64("tree", "token").alias("node")
+    slim = nodes.select("doc", F.posexplode("firsts").alias("tree", "token")).select("doc", key, F.lit(1).alias("level"))
+    none = F.lit(None).cast("long").alias("leaf")
+    parts, leaves = [], []
+    for level in range(1, settings.depth + 1):
+        counts = slim.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sized = slim.join(counts, "node")
+        parts.append(sized.where(F.col("size") <= settings.hot).select("node", "level", none, "doc"))
+        if not counts.where(F.col("size") > settings.hot).head(1):
+            break
+        large = sized.where(F.col("size") > settings.hot).join(nodes.select("doc", "tokens"), "doc")
+        large = cut(large.select("node", "size", "doc", "tokens"))
+        if level == settings.depth:
+            leaves.append(large.select("node", "size", "doc"))
+            break
+
+        def token(c: Column) -> Column:
+            return F.hex(F.substring(F.col("tokens"), (2 * c + 1).cast("int"), F.lit(2)))
+
+        # The share of pairs that agree, over a few hash functions spread over all.
+        probes = [settings.trees * settings.depth * i // 8 for i in range(8)]
+        each = large.select("node", "size", F.posexplode(F.array(*[token(F.lit(c)) for c in probes])).alias("probe", "token"))
+        share = each.groupBy("node", "size", "probe", "token").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg((F.sum(F.col("m") * F.col("m") / F.col("size") / F.col("size")) / len(probes)).alias("share"))
+        tight = share.where(F.col("share") >= settings.tight).select("node")
+        leaves.append(large.join(tight, "node", "left_semi").select("node", "size", "doc"))
+        # One or two hash functions of the level, per / share on average, drawn by the node.
+        t = settings.trees
+        one = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(t))
+        more = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(settings.share)) < settings.per - settings.share
+        two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(3)), F.lit(max(1, t - 1))), F.lit(t))
+        picks = F.when(more & F.lit(t > 1), F.array(one, two)).otherwise(F.array(one))
+        slim = large.join(tight, "node", "left_anti").select("doc", "node", "tokens", F.explode(picks).alias("pick"))
+        slim = slim.select("doc", F.xxhash64("node", "pick", token(F.col("pick") + level * t)).alias("node"), F.lit(level + 1).alias("level"))
+    for leaf in leaves:
+        pieces = F.ceil(F.col("size") / settings.hot)
+        piece = F.pmod(F.xxhash64("doc", F.lit(1)), pieces)
+        least = leaf.groupBy("node", "size").agg(F.min("doc").alias("doc"))
+        mine = leaf.select("node", "doc", piece.alias("piece")).union(least.select("node", "doc", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))))
+        parts.append(mine.distinct().select(F.xxhash64("node", "piece").alias("node"), F.lit(settings.depth).alias("level"), F.col("node").alias("leaf"), "doc"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def likely(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """What the trees find among ``nodes`` (node as doc, n, firsts, tokens): ``x, y, same, kind``; see :func:`_grow`.
+
+    There are at most three rows for each document of a leaf, whatever the leaf's size.
+    """
+    rows = placed(nodes, settings).join(nodes.select("doc", "n", "tokens"), "doc").select("node", "level", "leaf", "doc", "n", "tokens")
+    rows = rows.repartition(partitions(nodes.sparkSession), "node").sortWithinPartitions("node", "doc")
+    return rows.mapInArrow(_grow(settings), "x long, y long, same double, kind byte")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets are linked; ``texts`` has ``doc, text``."""
-    share, per, size = settings.share, settings.per, settings.shingle
+def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are linked; ``sets`` has ``doc, set``. A frequent ``a`` is dealt to parts by its partners."""
+    share, per = settings.share, settings.per
 
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
-        lengths = np.diff(W.buffers(left)[1]) + np.diff(W.buffers(right)[1])
-        for a, b in W.chunks(lengths):
-            sets = []
-            for side in (left, right):
-                data, offsets = W.buffers(side.slice(a, b - a))
-                sets.append(distinct(*shingles(W.find(data, offsets, W.SPACES, lower=True), size)))
-            (x, x_at), (y, y_at) = sets
-            for k in range(b - a):
-                p, q = x[x_at[k] : x_at[k + 1]], y[y_at[k] : y_at[k + 1]]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both > 0 and per * both >= share * (len(p) + len(q) - both))
+        for x, y in zip(left, right, strict=True):
+            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both > 0 and per * both >= share * (len(p) + len(q) - both))
         return pa.array(out, pa.bool_())
 
-    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").where(linked("left", "right")).select("a", "b")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 200).alias("parts"))
+    left = sets.join(parts, F.col("doc") == F.col("a")).select("a", "parts", F.col("set").alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    right = pairs.join(parts, "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("right")), "b").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "right")
+    return right.join(left.select("a", "part", "left"), ["a", "part"]).where(linked("left", "right")).select("a", "b")
+
+
+def _exact(settings: Settings):
+    """From rows (group, label, set) in the order of group: label pairs ``a, b`` that connect what is linked in a group."""
+
+    def linked(labels: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of rows of different labels that are linked."""
+        n = len(labels)
+        sizes = np.diff(offsets)
+        if n == 2:
+            both = np.array([[0, len(np.intersect1d(values[: offsets[1]], values[offsets[1] :], assume_unique=True))], [0, 0]])
+        else:
+            order = np.argsort(values, kind="stable")
+            sorted_ = values[order]
+            new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+            code = np.cumsum(new) - 1
+            shared = np.bincount(code)[code] > 1
+            row, code = np.repeat(np.arange(n), sizes)[order][shared], code[shared]
+            code = np.cumsum(np.concatenate([[True], code[1:] != code[:-1]])) - 1 if len(code) else code
+            both = np.zeros((n, n))
+            width = max(1, (1 << 21) // n)
+            for a in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+                low, high = np.searchsorted(code, [a, a + width])
+                part = np.zeros((n, width), np.float32)
+                part[row[low:high], code[low:high] - a] = 1
+                both += part @ part.T
+        i, j = np.triu_indices(n, 1)
+        common = both[i, j]
+        keep = (labels[i] != labels[j]) & (common > 0) & (settings.per * common >= settings.share * (sizes[i] + sizes[j] - common))
+        return i[keep], j[keep]
+
+    def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, labels = table.column("group").to_numpy(), table.column("label").to_numpy()
+        data, offsets = _bytes_of(table.column("set"))
+        values, offsets = data.view(np.uint64), offsets // 8
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(group) != 0) + 1, [len(group)]])
+        found = []
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            if labels[a:b].min() == labels[a:b].max():
+                continue
+            i, j = linked(labels[a:b], values[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            if len(i):
+                names, at = np.unique(labels[a:b], return_inverse=True)
+                top = _components(len(names), at[i], at[j])
+                joined = np.flatnonzero(top != np.arange(len(names)))
+                found.append(np.stack([names[top[joined]], names[joined]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
+    return _streamed("group", 8 << 20, lambda part: part.nbytes, answer)
 
-def roots(links: DataFrame) -> DataFrame:
-    """``node, component`` of a forest in which each b has one link to an a < b: for each node the top of its tree.
 
-    Every round each node takes its parent's parent, so paths halve; a round's rows are the nodes.
+def across(leaves: DataFrame, labels: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs ``a, b`` of labels that some link in a leaf connects; ``leaves`` has ``leaf, doc``, ``labels`` ``doc, label``.
+
+    Leaves of one label have nothing to tell. Of the others small ones are compared in one task; larger ones are cut into
+    blocks, and only those of the most frequent label never meet each other, so a few strangers in a leaf of many cost no
+    more than reading it.
     """
-    parents = cut(links.select(F.col("b").alias("node"), F.col("a").alias("component")))
-    while True:
-        above = parents.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        new = cut(parents.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"), F.col("above").isNotNull().alias("moved")))
-        parents = new.select("node", "component")
-        if not new.where("moved").head(1):
-            return parents
+    found = leaves.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    facts = found.groupBy("leaf").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("leaf")
+    found = cut(found.join(facts, "leaf").join(sets.select("doc", "n"), "doc"))
+    each = found.groupBy("leaf", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    top = each.groupBy("leaf").agg(F.max(F.struct("m", "label", "n")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+
+    def blocks(m: Column, n: Column) -> Column:
+        return F.greatest(F.ceil(m / settings.block_docs), F.ceil(n / settings.block_shingles), F.lit(1).cast("long"))
+
+    top = top.select("leaf", F.col("top.label").alias("most"), blocks(F.col("top.m"), F.col("top.n")).alias("tops"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("rests"))
+    zero = F.lit(0).cast("long")
+    place = F.xxhash64("doc", F.lit(2))
+    meet = lambda n, kind, a, b: F.transform(F.sequence(zero, n - 1), lambda k: F.xxhash64("leaf", F.lit(kind), a(k), b(k)))
+    own_top, own_rest = F.pmod(place, F.col("tops")), F.pmod(place, F.col("rests"))
+    with_tops = meet(F.col("tops"), 0, lambda k: k, lambda k: own_rest)
+    with_rests = meet(F.col("rests"), 0, lambda k: own_top, lambda k: k)
+    with_others = F.filter(meet(F.col("rests"), 1, lambda k: F.least(k, own_rest), lambda k: F.greatest(k, own_rest)), lambda g: g != F.xxhash64("leaf", F.lit(1), own_rest, own_rest))
+    where = F.when(F.col("label") == F.col("most"), with_rests).otherwise(F.concat(with_tops, with_others))
+    rows = found.join(top, "leaf").select("doc", "label", F.explode(where).alias("group")).join(sets.select("doc", "set"), "doc").select("group", "label", "set")
+    rows = rows.repartition(partitions(leaves.sparkSession), "group").sortWithinPartitions("group", "label")
+    return rows.mapInArrow(_exact(settings), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -425,65 +535,47 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Sett
     Texts are read whole, A-Z lower-cased, and cut into words ``[^\\x20\\x09-\\x0D]+``; a set has the distinct shingles, or
     the whole sequence where there are fewer words. Texts without words, and null ones, have an empty set and are linked
     with nothing. ``component_id`` is the smallest id reachable over links, ``kept`` says that it is the row's own. Rows
-    with one id are one document and in one component; a null id is larger than all others.
+    with one id are one document and in one component, which belongs to the sets of all its texts; a null id is larger
+    than all others. An empty table gives an empty result.
 
-    Equal sets become one node before anything is compared, so copies make no pairs. Links are confirmed in two steps:
-    first one for each document, to its smallest likely partner, then all candidates between groups that are still apart.
-    Pairs that seemed needless are decided last, if they stand between groups that the confirmed links leave apart.
+    Equal sets become one node before anything is compared, so copies make no pairs. A node goes by the smallest id that
+    has its set, or by a hash where one id is the smallest of several sets.
     """
     settings = settings or Settings()
-    rows = df.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.coalesce(quoted(id).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     signed = cut(rows.mapInArrow(_signatures(settings), "doc long, n long, one long, two long, firsts array<long>, tokens binary"))
     some = signed.where("n > 0")
-    sets = some.groupBy("one", "two", "n").agg(F.min("doc").alias("rep"))
-    member = some.select("doc", "one", "two", "n").distinct().join(sets, ["one", "two", "n"]).select("doc", "rep")
-    # A set's row is that of its smallest document; the join and the removal of repeats share one exchange by document.
-    chosen = sets.select(F.col("rep").alias("doc"), F.col("one").alias("rep_one"), F.col("two").alias("rep_two"))
-    own = some.join(chosen, "doc").where("one = rep_one and two = rep_two").dropDuplicates(["doc"])
-    own = cut(own.select("doc", "n", "firsts", "tokens"))
-    ready, large = placed(own, settings)
-    pairs = cut(candidates(own, ready, large, settings))
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ends = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
-        return cut(rows.where(maybe_in(ends, "doc")).join(ends, "doc").dropDuplicates(["doc"]))
-
-    texts = texts_of(pairs)
-    first = pairs.where("sure").groupBy("b").agg(F.min("a").alias("a"))
-    near = roots(confirmed(first, texts, settings))
-
-    def rooted(edges: DataFrame) -> DataFrame:
-        """The edges between the trees of the forest."""
-        for end in ("a", "b"):
-            tops = near.select(F.col("node").alias(end), F.col("component").alias(f"top_{end}"))
-            edges = edges.join(tops, end, "left").withColumn(f"top_{end}", F.coalesce(f"top_{end}", end))
-        return edges.where("top_a <> top_b")
-
-    apart = rooted(pairs).join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    digest = ["one", "two"]
+    sets = some.groupBy(*digest).agg(F.min("doc").alias("rep"))
+    first = sets.groupBy("rep").agg(F.min(F.struct(*digest)).alias("first"))
+    sets = sets.join(first, "rep").withColumn("node", F.when(F.struct(*digest) == F.col("first"), F.col("rep")).otherwise(F.xxhash64("rep", *digest))).drop("first")
+    sets = cut(sets.select("rep", *digest, "node"))
+    member = some.select("doc", *digest).distinct().join(sets, digest).select("doc", "node")
+    keyed = sets.select(F.col("rep").alias("doc"), *digest, "node")
+    own = cut(some.join(keyed, ["doc", *digest]).dropDuplicates(["node"]).select(F.col("node").alias("doc"), "n", "firsts", "tokens"))
+    found = cut(likely(own, settings))
+
+    leaves = cut(found.where(F.col("kind") == MEMBER).select(F.col("x").alias("leaf"), F.col("y").alias("doc")).distinct())
+    ends = leaves.select(F.col("doc").alias("node")).distinct().join(sets, "node").select(F.col("rep").alias("doc"), *digest, "node")
+    ends = cut(ends)
+    full = rows.where(maybe_in(ends, "doc")).mapInArrow(_sets(settings), "doc long, one long, two long, n long, set binary")
+    full = cut(full.join(ends, ["doc", *digest]).dropDuplicates(["node"]).select(F.col("node").alias("doc"), "n", "set"))
+
+    sure = found.where(F.col("kind") == SURE).groupBy("y").agg(F.min("x").alias("x"))
+    near = found.where(F.col("kind") == NEAREST).groupBy("y").agg(F.max(F.struct("same", (-F.col("x")).alias("x"))).alias("best")).select("y", (-F.col("best.x")).alias("x"))
+    tried = sure.select("x", "y").union(near.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = confirmed(cut(tried), full, settings)
     # A document under one id with several texts belongs to the sets of all of them.
-    least = member.groupBy("doc").agg(F.min("rep").alias("a"))
-    shared_ids = member.join(least, "doc").where("a <> rep").select("a", F.col("rep").alias("b"))
-    between = rooted(confirmed(apart, texts, settings).union(shared_ids)).select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))
-    last = components(between).select(F.col("node").alias("top"), F.col("component").alias("least"))
-    label = own.select("doc").join(near.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("top"))
-    label = cut(label.join(last, "top", "left").select("doc", F.coalesce("least", "top").alias("label")))
-
-    def labelled(edges: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            edges = edges.join(label.select(F.col("doc").alias(end), F.col("label").alias(f"label_{end}")), end)
-        return edges.where("label_a <> label_b")
-
-    # A candidate whose ends are apart now has failed: what it made needless was not.
-    failed = labelled(pairs).select(F.explode(F.array("a", "b")).alias("doc")).distinct().withColumn("failed", F.lit(True))
-    marks = cut(label.join(failed, "doc", "left").select("doc", "label", F.coalesce("failed", F.lit(False)).alias("failed")))
-    more = cut(remaining(own, ready, large, marks, settings).join(pairs, ["a", "b"], "left_anti"))
-    top = None
-    if more.head(1):
-        joined = labelled(confirmed(more, texts_of(more), settings)).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-        top = components(joined).select(F.col("node").alias("label"), F.col("component").alias("top"))
-    label = member.join(label.withColumnRenamed("doc", "rep"), "rep")
-    label = label.withColumn("top", F.col("label")) if top is None else label.join(top, "label", "left").withColumn("top", F.coalesce("top", "label"))
-    label = label.groupBy("doc").agg(F.min("top").alias("component"))
-    out = signed.select("doc", "n").join(label, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    least = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    shared_ids = member.join(least, "doc").where("a <> node").select("a", F.col("node").alias("b"))
+    labels = components(links.union(shared_ids)).select(F.col("node").alias("doc"), F.col("component").alias("label"))
+
+    more = components(across(leaves, labels, full, settings)).select(F.col("node").alias("label"), F.col("component").alias("top"))
+    label = member.join(labels.withColumnRenamed("doc", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = label.join(more, "label", "left").select("doc", F.coalesce("top", "label").alias("label"))
+    label = label.groupBy("doc").agg(F.min("label").alias("label"))
+    # A group whose smallest node goes by a hash is the only one that needs another name.
+    smallest = label.groupBy("label").agg(F.min("doc").alias("component")).where("component <> label")
+    out = signed.select("doc", "n").join(label, "doc", "left").join(smallest, "label", "left").select("doc", "n", F.coalesce("component", "label", "doc").alias("component"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(back("doc").alias(id), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))

@@ -10,12 +10,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
+from tessera.llm.frames import quoted
 
 #: What a byte looks like: letters by case, digits, and any other ASCII character itself.
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -73,7 +73,7 @@ def features(words: W.Words, bits: int) -> np.ndarray:
     repeated[1:] = h[1:] == h[:-1]
     repeated[first] = False
     kinds = [h, pairs(h), shape, pairs(shape), np.where(repeated, REPEAT, START)]
-    return np.stack([W.mix(x + np.uint64(i + 1)) >> np.uint64(64 - bits) for i, x in enumerate(kinds)]).astype(np.int64)
+    return np.stack([(W.mix(x + np.uint64(i + 1)) >> np.uint64(64 - bits)).astype(np.int32) for i, x in enumerate(kinds)])
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings) -> Model:
@@ -139,26 +139,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", text
     return Model(np.frombuffer(row["weights"]).copy(), row["bias"], settings.bits)
 
 
-def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """Return ``id, score`` (0 to 1, higher is likelier label 1) of each row's whole text; with ``keep`` all of ``docs``' columns too.
+def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
+    """Return ``id`` and ``name`` (0 to 1, higher is likelier label 1) of each row's whole text; with ``keep`` all of ``docs``' columns too.
 
     Null and blank texts have no features and get the bias' score. Repeated rows stay; without ``keep`` other columns are
-    ignored. The model has ``2 ** bits`` weights, whatever the input's size, and is broadcast.
+    ignored, with it a column called ``name`` is replaced. The model has ``2 ** bits`` weights, whatever the input's size,
+    and is broadcast; a task holds about a MB of text's features at a time.
     """
-    weights = model.weights.astype(np.float64)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))
     bias, bits = model.bias, model.bits
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        data, offsets = W.buffers(pa.array(texts, pa.large_string(), from_pandas=True))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        data, offsets = W.buffers(texts)
         out = np.full(len(texts), bias)
         for a, b in W.chunks(np.diff(offsets)):
             words = W.find(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], W.SPACES)
             if len(words):
-                sums = np.concatenate([[0.0], np.cumsum(shared.value[features(words, bits)].sum(0))])
+                sums = np.concatenate([[0.0], np.cumsum(shared.value[features(words, bits)].sum(0, dtype=np.float64))])
                 out[a:b] += SCALE * (sums[words.first[1:]] - sums[words.first[:-1]]) / np.maximum(1, words.counts)
-        return pd.Series(sigmoid(out))
+        return pa.array(sigmoid(out))
 
-    value = scored(F.col(text)).alias("score")
-    return docs.select("*", value) if keep else docs.select(id, value)
+    value = scored(quoted(text))
+    return docs.withColumn(name, value) if keep else docs.select(quoted(id), value.alias(name))

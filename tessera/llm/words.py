@@ -7,6 +7,7 @@ Null texts have no bytes and so no words.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,14 @@ NON_ALNUM = np.isin(np.arange(256), [*range(0x00, 0x30), *range(0x3A, 0x61), *ra
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Odd multipliers (fixed values): they make the first of two combined hashes differ from the second.
+_LEFT, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: The lowest k bytes of eight.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
 #: Bytes handled at once; a longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 @dataclass
@@ -100,29 +105,50 @@ def find(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: b
 
 
 def hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word; equal words have equal hashes wherever they stand."""
-    n = len(words.data)
-    if not n or not len(words):
-        return np.zeros(len(words), np.uint64)
-    powers = np.empty(n + 1, np.uint64)
-    powers[0], powers[1:] = 1, _BASE
-    np.multiply.accumulate(powers, out=powers)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((words.data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-    powers[0], powers[1:] = 1, _INVERSE
-    np.multiply.accumulate(powers, out=powers)
-    return mix((sums[words.ends] - sums[words.starts]) * powers[words.starts])
+    """A 64-bit hash of each word; equal words have equal hashes wherever they stand.
+
+    Eight bytes at a time are mixed into what came before, so no arithmetic relation between words makes their hashes
+    meet. Memory grows with the number of words, not of bytes; the few words of over LONG_WORD bytes go to a digest.
+    """
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    lengths = words.ends - words.starts
+    out = mix(lengths.astype(np.uint64) * _LENGTH)
+    padded = np.concatenate([words.data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(words.data) + 1,), "<u8", padded, strides=(1,))
+    rest = np.flatnonzero(lengths <= LONG_WORD)
+    at = words.starts[rest]
+    left = lengths[rest]
+    while len(rest):
+        value = eights[at]
+        last = left < 8
+        value[last] &= _TAIL[left[last]]
+        out[rest] = mix(out[rest] ^ value)
+        going = left > 8
+        rest, at, left = rest[going], at[going] + 8, left[going] - 8
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = int.from_bytes(blake2b(words.data[words.starts[i] : words.ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n consecutive entries of h, by the place of the first; those over an end of a document are for the caller to leave out."""
+    """A hash of each n consecutive entries of h, by the place of the first; those over an end of a document are for the caller to leave out.
+
+    Runs of twice a length are made of two runs of that length, and of such pieces any length.
+    """
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        out *= _BASE
-        out += h[i : len(h) - n + 1 + i]
-    return mix(out)
+    out, done, piece, length = None, 0, h, 1
+    while True:
+        if n & length:
+            mine = piece[done : done + len(h) - n + 1]
+            out = mix(mine + np.uint64(length)) if out is None else mix(out * _LEFT + mine)
+            done += length
+        if 2 * length > n:
+            return out
+        piece = mix(piece[:-length] * _LEFT + piece[length:])
+        length *= 2
 
 
 def chunks(sizes: np.ndarray, limit: int = CHUNK_BYTES):
