@@ -93,18 +93,11 @@ class Dataset(Table):
         names = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]) if kinds else None
         return found.withColumn("type", F.element_at(names, F.col("name"))) if names is not None else found
 
-    def _codec(self) -> str | None:
-        """A Parquet source's codec, for Parquet outputs."""
-        if self.format != "parquet" or not self.num_row_groups:
-            return None
-        first = next(f for f in self.footers if f.num_row_groups)
-        return first.row_group(0).column(0).compression.lower()
-
     def convert(self, output: str, columns: Sequence[str] | None = None, force: bool = False, progress: Progress | None = None) -> int:
         """Write all rows, or some columns of them, to one file of any supported format; returns the rows."""
         names = checks.columns(columns, self.frame.columns)
         files.check_target(self.storage, str(output), force, [self.path])
-        rows = files.write_one(self.numbered().select(*preview.quoted(names), ORDINAL), str(output), force=force, codec=self._codec())
+        rows = files.write_one(self.numbered().select(*preview.quoted(names), ORDINAL), str(output), force=force, codec=self.codec)
         if progress:
             progress(rows, rows)
         return rows
@@ -116,11 +109,10 @@ class Dataset(Table):
         total = None
         if file_count is not None or record_count is None:
             total = self.count
-            sizes = checks.chunk_sizes(total, file_count, record_count)
-            for i in range(len(sizes)):
+            for i in range(checks.files_needed(total, file_count=file_count, record_count=record_count)):
                 files.check_target(self.storage, pattern % i, force, [self.path])
         rows = split.assigned(self.numbered(), ORDINAL, total, file_count, record_count, "__split")
-        paths, written = files.write_many(rows, pattern, "__split", force=force, codec=self._codec(), inputs=[self.path])
+        paths, written = files.write_many(rows, pattern, "__split", force=force, codec=self.codec, inputs=[self.path])
         if progress:
             progress(written, written)
         return paths, written

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import checks
 from tessera.functions.types import arrow_name
+from tessera.operators.preview import quoted
 
 
 def _family(kind: T.DataType) -> str:
@@ -66,12 +68,11 @@ class Diff:
     def duplicates(self, side: str) -> DataFrame:
         """Keys of one side that stand more than once, and how often."""
         df = {"left": self.left, "right": self.right}[side]
-        keys = [F.col(f"`{k}`") for k in self.keys]
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+        return df.groupBy(*quoted(self.keys)).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
 
     def check_keys(self) -> None:
         for side in ("left", "right"):
-            if row := self.duplicates(side).orderBy(*self.keys).head():
+            if row := self.duplicates(side).orderBy(*quoted(self.keys)).head():
                 key = tuple(row[k] for k in self.keys)
                 raise ValueError(f"Duplicate key found in {side} input: {key if len(key) > 1 else key[0]}")
 
@@ -101,7 +102,7 @@ class Diff:
         """
         names = list(dict.fromkeys([*self.keys, *self.columns]))
         there = "__there"
-        sides = [df.select([F.col(f"`{n}`") for n in names]).withColumn(there, F.lit(True)).alias(side) for side, df in (("left", self.left), ("right", self.right))]
+        sides = [df.select(quoted(names)).withColumn(there, F.lit(True)).alias(side) for side, df in (("left", self.left), ("right", self.right))]
         on = F.lit(True)
         for k in self.keys:
             on = on & self._comparable("left", k).eqNullSafe(self._comparable("right", k))
@@ -122,9 +123,13 @@ class Diff:
         return joined.select(F.struct(*[key(k) for k in self.keys]).alias("key"), values("left").alias("left"), values("right").alias("right"), state.alias("state"))
 
     def summary(self) -> DataFrame:
-        """One row: ``row_count_delta, only_left_count, only_right_count, changed_count``."""
+        """One row: ``row_count_delta, only_left_count, only_right_count, changed_count``; for unique keys (:meth:`check_keys`)."""
+        return self._counted(self.rows())
+
+    @staticmethod
+    def _counted(rows: DataFrame) -> DataFrame:
         counted = [F.count_if(F.col("state") == s).alias(f"{s}_count") for s in ("only_left", "only_right", "changed")]
-        found = self.rows().agg(*counted)
+        found = rows.agg(*counted)
         # With unique keys the delta of rows is that of keys.
         return found.select((F.col("only_left_count") - F.col("only_right_count")).alias("row_count_delta"), "only_left_count", "only_right_count", "changed_count")
 
@@ -132,11 +137,11 @@ class Diff:
         """Keys of one side alone, the smallest ``limit``: an anti join."""
         other = {"left": "right", "right": "left"}[side]
         frames = {"left": self.left, "right": self.right}
-        a, b = (frames[s].select([F.col(f"`{k}`") for k in self.keys]).alias(s) for s in (side, other))
+        a, b = (frames[s].select(quoted(self.keys)).alias(s) for s in (side, other))
         on = F.lit(True)
         for k in self.keys:
             on = on & self._comparable("left", k).eqNullSafe(self._comparable("right", k))
-        return a.join(b, on, "left_anti").orderBy(*self.keys).limit(limit)
+        return a.join(b, on, "left_anti").orderBy(*quoted(self.keys)).limit(limit)
 
     def changed(self, limit: int = 20) -> DataFrame:
         """``key, left, right`` of the smallest ``limit`` changed keys."""
@@ -147,21 +152,30 @@ class Diff:
         if limit < 0:
             raise ValueError("limit must be non-negative")
         self.check_keys()
-        out: dict = self.summary().first().asDict()
         sections = ["schema_only_left", "schema_only_right", "schema_type_mismatches", "only_left", "only_right", "changed_rows"]
         if summary_only:
-            return out | {s: [] for s in sections}
+            return self.summary().first().asDict() | {s: [] for s in sections}
+        # One join serves the counters and the samples; only what differs is kept, and what an executor loses is joined again.
+        rows = self.rows().where(F.col("state") != "same").persist(StorageLevel.DISK_ONLY)
 
         def bare(row) -> object:
             values = tuple(row[k] for k in self.keys)
             return values if len(values) > 1 else values[0]
 
+        def sample(state: str) -> list:
+            return rows.where(F.col("state") == state).orderBy("key").limit(limit).collect()
+
+        try:
+            out: dict = self._counted(rows).first().asDict()
+            only = [[{"key": bare(r["key"])} for r in sample(f"only_{side}")] for side in ("left", "right")]
+            changed = [{"key": bare(r["key"]), "left": r["left"].asDict() if r["left"] else {}, "right": r["right"].asDict() if r["right"] else {}} for r in sample("changed")]
+        finally:
+            rows.unpersist()
         found = [
             [{"column": c} for c in self.schema_only_left()[:limit]],
             [{"column": c} for c in self.schema_only_right()[:limit]],
             [{"column": c, "left_type": a, "right_type": b} for c, a, b in self.schema_type_mismatches()[:limit]],
-            [{"key": bare(r)} for r in self.only("left", limit).collect()],
-            [{"key": bare(r)} for r in self.only("right", limit).collect()],
-            [{"key": bare(r["key"]), "left": r["left"].asDict() if r["left"] else {}, "right": r["right"].asDict() if r["right"] else {}} for r in self.changed(limit).collect()],
+            *only,
+            changed,
         ]
         return out | dict(zip(sections, found, strict=True))

@@ -14,7 +14,7 @@ def chunk(ordinal: Column, total: int | None, file_count: int | None = None, rec
         if record_count <= 0:
             raise ValueError("record_count must be positive")
         return F.floor(ordinal / record_count).cast("int")
-    checks.chunk_sizes(total, file_count, record_count)
+    checks.files_needed(total, file_count=file_count, record_count=record_count)
     least, extra = divmod(total, file_count)
     border = extra * (least + 1)
     return F.when(ordinal < border, F.floor(ordinal / (least + 1))).otherwise(extra + F.floor((ordinal - border) / least)).cast("int")

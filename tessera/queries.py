@@ -362,7 +362,11 @@ def split_rows_assignment(spark, sf_dir):
 
 def _written(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors can reach")
+        shared = f"file://{tempfile.gettempdir()}"
     return f"{shared.rstrip('/')}/tessera-{next(tempfile._get_candidate_names())}/{name}"
 
 

@@ -62,13 +62,33 @@ def _part(storage: Storage, folder: str) -> str:
 
 
 def _commit(storage: Storage, source: str, target: str) -> None:
-    """Replace the target only when the new file is whole."""
-    parent = storage.path(target).getParent()
-    if parent is not None:
-        storage.fs.mkdirs(parent)
-    if storage.exists(target):
-        storage.delete(target)
-    storage.move(source, target)
+    """Put the new file, which is whole, in the target's place."""
+    _commit_all(storage, [(source, target)])
+
+
+def _commit_all(storage: Storage, moves: Sequence[tuple[str, str]]) -> None:
+    """Put each source in its target's place. What stood there is set aside first, and comes back if any move fails."""
+    aside: list[tuple[str, str]] = []
+    done: list[str] = []
+    try:
+        for source, target in moves:
+            parent = storage.path(target).getParent()
+            if parent is not None:
+                storage.fs.mkdirs(parent)
+            if storage.exists(target):
+                old = _staging(target)
+                storage.move(target, old)
+                aside.append((old, target))
+            storage.move(source, target)
+            done.append(target)
+    except Exception:
+        for target in done:
+            storage.delete(target)
+        for old, target in aside:
+            storage.move(old, target)
+        raise
+    for old, _ in aside:
+        storage.delete(old)
 
 
 def write_one(df: DataFrame, path: str, order: Sequence[str] = (ORDINAL,), force: bool = False, codec: str | None = None, inputs: Sequence[str] = ()) -> int:
@@ -112,18 +132,10 @@ def write_many(df: DataFrame, pattern: str, chunk: str, order: str = ORDINAL, fo
         chunks = sorted(int(s.getPath().getName().partition("=")[2]) for s in storage.fs.listStatus(storage.path(staging)) if s.isDirectory())
         for i in chunks:
             check_target(storage, pattern % i, force, inputs)
-        done: list[str] = []
-        try:
-            for i in chunks:
-                _commit(storage, _part(storage, f"{staging}/__chunk={i}"), pattern % i)
-                done.append(pattern % i)
-        except Exception:
-            for path in done:
-                storage.delete(path)
-            raise
+        _commit_all(storage, [(_part(storage, f"{staging}/__chunk={i}"), pattern % i) for i in chunks])
     finally:
         storage.delete(staging)
-    return done, rows
+    return [pattern % i for i in chunks], rows
 
 
 def _write_xlsx(df: DataFrame, storage: Storage, path: str) -> int:

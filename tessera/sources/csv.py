@@ -44,12 +44,20 @@ _FORMS = [
 ]
 
 
-def read(spark: SparkSession, path: str, delimiter: str = ",", single_line: bool = False) -> tuple[DataFrame, dict[str, str]]:
+def splittable(spark: SparkSession, path: str) -> bool:
+    """Whether no cell holds a line break: then every line has an even number of quotes. One scan that itself splits."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).head(1)
+
+
+def read(spark: SparkSession, path: str, delimiter: str = ",", single_line: bool | None = None) -> tuple[DataFrame, dict[str, str]]:
     """(frame, Arrow name of each column's type). The first line has the names.
 
-    Cells may hold line breaks, which keeps a file in one split; ``single_line`` gives that up for speed. Rows with too
-    many or too few cells, repeated names and files without a header raise.
+    Cells may hold line breaks, which keeps a file in one split; where none does, or ``single_line`` says so, tasks share a
+    file. Rows with too many or too few cells, repeated names and files without a header raise.
     """
+    if single_line is None:
+        single_line = splittable(spark, path)
     reader = spark.read.options(header=True, sep=delimiter, quote='"', escape='"', multiLine=not single_line, mode="FAILFAST", inferSchema=False, nullValue="\0", emptyValue="", enforceSchema=False)
     head = spark.read.options(sep=delimiter, quote='"', escape='"', multiLine=not single_line, header=False).csv(path).head(1)
     if not head:

@@ -18,17 +18,25 @@ class Storage:
     def exists(self, path: str | None = None) -> bool:
         return self.fs.exists(self.path(path) if path else self.at)
 
+    def plain(self, path: str) -> str:
+        """The path within its file system, decoded: the same for every way to write it."""
+        return self.path(path).toUri().getPath()
+
+    def is_folder(self) -> bool:
+        return self.fs.getFileStatus(self.at).isDirectory()
+
     def files(self) -> list[tuple[str, int]]:
-        """(path, size) of the file, or of a folder's data files in the order of their names."""
+        """(path, size) of the file, or of a folder's data files in the order of their whole paths."""
         if self.fs.getFileStatus(self.at).isFile():
             return [(str(self.at.toString()), self.fs.getFileStatus(self.at).getLen())]
         found = self.fs.listFiles(self.at, True)
         out = []
         while found.hasNext():
             status = found.next()
-            if not status.getPath().getName().startswith(("_", ".")):
+            inner = status.getPath().toString().removeprefix(self.fs.makeQualified(self.at).toString())
+            if not any(part.startswith(("_", ".")) and "=" not in part for part in inner.split("/")):
                 out.append((status.getPath().toString(), status.getLen()))
-        return sorted(out)
+        return sorted(out, key=lambda f: self.plain(f[0]))
 
     def tail(self, path: str, size: int, length: int) -> bytes:
         """The last ``length`` bytes of a file of ``size`` bytes."""

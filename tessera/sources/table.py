@@ -55,13 +55,23 @@ class Table:
 
     @cached_property
     def footers(self) -> list:
-        """Of a Parquet input's files, in their order."""
-        return [footers.footer(self.storage, path, size) for path, size in self.files]
+        """Of a Parquet input's files, in their order; many are read at a time."""
+        return footers.footers(self.storage, self.files)
 
     @cached_property
     def first_footer(self):
         return footers.footer(self.storage, *self.files[0])
 
+    @property
+    def codec(self) -> str | None:
+        """A Parquet input's codec, from the footer of the first file with rows."""
+        if self.format == "parquet":
+            for path, size in self.files:
+                found = footers.footer(self.storage, path, size)
+                if found.num_row_groups:
+                    return found.row_group(0).column(0).compression.lower()
+        return None
+
     @cached_property
     def count(self) -> int:
         """Rows; of Parquet from the footers alone, on the driver for a few files."""
@@ -69,9 +79,11 @@ class Table:
 
     @cached_property
     def fields(self) -> list[tuple[str, str, bool]]:
-        """(name, Arrow type, nullable) of each column, of Parquet as the first file's footer has them."""
+        """(name, Arrow type, nullable) of each column; of Parquet as the first file's footer has them, then those in folder names."""
         if self.format == "parquet":
-            return [(f.name, str(f.type), f.nullable) for f in self.first_footer.schema.to_arrow_schema()]
+            own = [(f.name, str(f.type), f.nullable) for f in self.first_footer.schema.to_arrow_schema()]
+            names = {n for n, _, _ in own}
+            return own + [(f.name, arrow_name(f.dataType), True) for f in self.frame.schema if f.name not in names]
         return [(f.name, self._opened[1].get(f.name) or arrow_name(f.dataType), True) for f in self.frame.schema]
 
     @property
@@ -87,7 +99,7 @@ class Table:
         if self.format != "parquet":
             return ordinals.dense(self.frame, name)
         if len(self.files) > FEW:
-            path = F.col("_metadata.file_path")
+            path = _plain(F.col("_metadata.file_path"))
             counts = self.frame.groupBy(path.alias("__file")).agg(F.count(F.lit(1)).alias("__rows"))
             before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
             starts = counts.select("__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
@@ -95,7 +107,7 @@ class Table:
             return tagged.join(starts, "__file").withColumn(name, F.col("__start") + F.col("__at")).drop("__file", "__at", "__start")
         begin, starts = 0, {}
         for (path, _), found in zip(self.files, self.footers, strict=True):
-            starts[path.rpartition("/")[2]] = begin
+            starts[self.storage.plain(path)] = begin
             begin += found.num_rows
         return self.frame.withColumn(name, _start(starts) + F.col("_metadata.row_index"))
 
@@ -108,8 +120,11 @@ class Table:
             chosen.append(path)
             rows += footers.footer(self.storage, path, size).num_rows
         part = Table(self.spark, self.path)
-        part.files = sorted((p, s) for p, s in self.files if p in chosen)
-        part._opened = (self.spark.read.schema(self.frame.schema).parquet(*chosen), {})
+        part.files = [(p, s) for p, s in self.files if p in chosen]
+        reader = self.spark.read.schema(self.frame.schema)
+        if self.storage.is_folder():  # the folders' names below it have columns
+            reader = reader.option("basePath", self.path)
+        part._opened = (reader.parquet(*chosen), {})
         return part.numbered(), rows
 
 
@@ -117,4 +132,10 @@ def _start(starts: dict[str, int]) -> Column:
     if len(starts) == 1:
         return F.lit(next(iter(starts.values())))
     table = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
-    return F.element_at(table, F.element_at(F.split("_metadata.file_path", "/"), -1))
+    return F.element_at(table, _plain(F.col("_metadata.file_path")))
+
+
+def _plain(url: Column) -> Column:
+    """What ``Storage.plain`` gives: a file's url without scheme and host, decoded."""
+    path = F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))

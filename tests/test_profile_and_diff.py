@@ -72,6 +72,16 @@ def test_diff_nulls_nan_and_types(spark):
     assert rows(Diff(left, wide, ["k"]).summary()) == [(0, 0, 0, 0)]
 
 
+def test_diff_odd_names(spark):
+    left = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "`a.k` long, `x``y` string, `v.w` double")
+    right = left.select("`a.k`", "`x``y`", (F.col("`v.w`") * 2).alias("v.w"))
+    found = Diff(left, right, ["a.k", "x`y"]).result()
+    assert found["changed_count"] == 2 and found["changed_rows"][0] == {"key": (1, "a"), "left": {"v.w": 1.0}, "right": {"v.w": 2.0}}
+    assert Diff(left, right.where("`a.k` = 1"), ["a.k"]).only("left").collect()[0]["a.k"] == 2
+    with pytest.raises(ValueError, match="Duplicate key"):
+        Diff(left.union(left), right, ["a.k"]).check_keys()
+
+
 def test_diff_repeated_keys(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b")], "id long, v string")
     with pytest.raises(ValueError, match="Duplicate key found in left input: 1"):
