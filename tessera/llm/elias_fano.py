@@ -1,4 +1,4 @@
-"""Elias-Fano coding of monotone sequences, and an n-gram trie of two levels built of them, for many queries at once."""
+"""Elias-Fano coding of monotone sequences, and an n-gram trie of three levels built of them, for many queries at once."""
 
 from __future__ import annotations
 
@@ -117,24 +117,28 @@ class Codebook:
         return self.values[codes]
 
 
-class BigramTrie:
-    """Contexts, pointers to their successors, successors with codes; the levels lie in a mapped temporary file.
+class Trie:
+    """An n-gram trie of three levels: contexts, their successors with codes, and the successors' successors with codes.
 
-    A successor is stored relative to its context: the context's place above, the word below, so that the whole level is one
-    monotone sequence and a successor search in it answers for a context.
+    A successor is stored relative to its parent, the parent's place above and the word below, so each level is one monotone
+    sequence, and monotone pointers bound a parent's children in it. The levels lie in a temporary file that is mapped.
     """
 
-    WORD_BITS = 32
-
-    def __init__(self, contexts: np.ndarray, context_bits: int, owner: np.ndarray, words: np.ndarray, codes: np.ndarray):
-        """``contexts`` ascending; ``owner`` (places in contexts) and ``words`` ascending together; a code for each."""
+    def __init__(self, contexts: np.ndarray, context_bits: int, levels: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]):
+        """``contexts`` ascending; of each level (parents' places, words, bits of a word, codes), ascending by the first two."""
         self.first = EliasFano(contexts, 1 << context_bits)
-        self.pointers = EliasFano(np.searchsorted(owner, np.arange(len(contexts) + 1)), len(owner) + 1)
-        self.second = EliasFano((owner.astype(np.uint64) << np.uint64(self.WORD_BITS)) | words.astype(np.uint64), max(1, len(contexts)) << self.WORD_BITS)
-        self._map(codes)
-
-    def _map(self, codes: np.ndarray) -> None:
-        levels = [*self.first.arrays(), *self.pointers.arrays(), *self.second.arrays(), codes]
+        self.bits = [bits for _, _, bits, _ in levels]
+        self.pointers, self.words = [], []
+        above = len(contexts)
+        for parents, words, bits, _ in levels:
+            self.pointers.append(EliasFano(np.searchsorted(parents, np.arange(above + 1)), len(parents) + 1))
+            self.words.append(EliasFano((parents.astype(np.uint64) << np.uint64(bits)) | words.astype(np.uint64), max(1, above) << bits))
+            above = len(parents)
+        self._map([codes for *_, codes in levels])
+
+    def _map(self, codes: list[np.ndarray]) -> None:
+        parts = [self.first, *self.pointers, *self.words]
+        levels = [x for part in parts for x in part.arrays()] + codes
         with tempfile.TemporaryFile() as file:  # without a name from the start, so nothing is left behind
             places = []
             for x in levels:
@@ -144,20 +148,30 @@ class BigramTrie:
             file.write(b"\0" * 8)
             file.flush()
             mapped = [np.memmap(file, x.dtype, "r", at, x.shape) if len(x) else x for x, at in zip(levels, places, strict=True)]
-        for part, k in ((self.first, 0), (self.pointers, 2), (self.second, 4)):
-            part.replace(mapped[k : k + 2])
-        self.codes = mapped[6]
+        for k, part in enumerate(parts):
+            part.replace(mapped[2 * k : 2 * k + 2])
+        self.codes = mapped[2 * len(parts) :]
 
-    def look_up(self, contexts: np.ndarray, runs: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The code of each word after its context, 0 where it is not there; each context has ``runs`` of the words."""
-        out = np.zeros(len(words), np.uint8)
+    def context(self, contexts: np.ndarray) -> np.ndarray:
+        """The place of each context, -1 where it is not there."""
         place, known = self.first.successor(contexts)
-        at = np.where(known, place, 0)
-        begin, end = self.pointers.access(at).astype(np.int64), self.pointers.access(at + 1).astype(np.int64)
-        asked = known & (begin < end)
-        known = np.flatnonzero(np.repeat(asked, runs))
-        at, begin, end = (np.repeat(x[asked], runs[asked]) for x in (at, begin, end))
-        found, equal = self.second.successor((at.astype(np.uint64) << np.uint64(self.WORD_BITS)) | words[known].astype(np.uint64))
+        return np.where(known, place, -1)
+
+    def children(self, level: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The place on ``level`` of each word below its parent, -1 where there is none; a parent of -1 has no children."""
+        out = np.full(len(words), -1)
+        asked = np.flatnonzero(parents >= 0)
+        at = parents[asked]
+        begin, end = (self.pointers[level].access(x).astype(np.int64) for x in (at, at + 1))
+        some = begin < end
+        asked, at, begin, end = asked[some], at[some], begin[some], end[some]
+        found, equal = self.words[level].successor((at.astype(np.uint64) << np.uint64(self.bits[level])) | words[asked].astype(np.uint64))
         equal &= (found >= begin) & (found < end)
-        out[known[equal]] = self.codes[found[equal]]
+        out[asked[equal]] = found[equal]
         return out
+
+    def code(self, level: int, places: np.ndarray) -> np.ndarray:
+        """The codes at some places, 0 at -1."""
+        if not len(self.codes[level]):
+            return np.zeros(len(places), np.uint8)
+        return np.where(places >= 0, self.codes[level][np.maximum(places, 0)], 0).astype(np.uint8)

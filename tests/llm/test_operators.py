@@ -71,6 +71,24 @@ def test_words_match_the_pattern():
     assert h[1] == h[-3] and len(set(h.tolist())) == len(h) - 2
 
 
+def test_words_of_one_pattern_have_hashes_of_their_own():
+    # Words whose letters alternate by the same rule, which deceive a polynomial modulo a power of two.
+    one, two = "a", "b"
+    for _ in range(11):
+        one, two = one + two, two + one
+    words = [one, two, one[:64], two[:64], one[:65], two[:65], "a" * 8, "a" * 9, "a" * 16, "ab" * 4]
+    found = W.find(*W.buffers(pa.array([" ".join(words)])), W.SPACES)
+    h = W.hashes(found)
+    assert len(set(h.tolist())) == len(words)
+    letters = W.find(*W.buffers(pa.array([" ".join(one[:64]), " ".join(two[:64])])), W.SPACES)
+    for n in (1, 2, 5, 8, 13, 32, 50):
+        r = W.runs(W.hashes(letters), n)
+        texts = {}
+        for i, x in enumerate(r.tolist()):
+            assert texts.setdefault(x, letters.data[letters.starts[i : i + n]].tobytes()) == letters.data[letters.starts[i : i + n]].tobytes()
+        assert len(texts) == len(set(texts.values()))
+
+
 # -- 1
 
 
@@ -447,6 +465,19 @@ def test_elias_fano():
         assert (place == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
 
 
+def test_trie():
+    contexts = np.array([3, 9, 12], np.uint64)
+    first = (np.array([0, 0, 2]), np.array([5, 7, 5], np.uint64), 32, np.array([1, 2, 3], np.uint8))
+    second = (np.array([1, 1, 2]), np.array([4, 6, 6], np.uint64), 24, np.array([7, 8, 9], np.uint8))
+    trie = elias_fano.Trie(contexts, 48, [first, second])
+    at = trie.context(np.array([3, 3, 9, 12, 4], np.uint64))
+    assert at.tolist() == [0, 0, 1, 2, -1]
+    pairs = trie.children(0, at, np.array([7, 6, 5, 5, 5], np.uint64))
+    assert pairs.tolist() == [1, -1, -1, 2, -1] and trie.code(0, pairs).tolist() == [2, 0, 0, 3, 0]
+    triples = trie.children(1, pairs, np.array([6, 6, 6, 6, 6], np.uint64))
+    assert triples.tolist() == [1, -1, -1, 2, -1] and trie.code(1, triples).tolist() == [8, 0, 0, 9, 0]
+
+
 def lower_words(t):
     return [*SPLIT.findall((t or "").translate(LOWER)), None]
 
@@ -465,7 +496,8 @@ def test_language_model_base(spark, docs, empty):
     none = language_model.score(empty, F.lit(True))
     assert none.count() == 0
     untrained = language_model.score(docs, F.lit(None).cast("boolean")).collect()
-    assert {r.train_tokens for r in untrained} == {0} and all(r.score < 0 for r in untrained)
+    # Nothing is known: every token is the one unknown word.
+    assert {(r.train_tokens, r.base_score, r.score) for r in untrained} == {(0, 0.0, 0.0)}
 
 
 def test_language_model_prefers_the_order_it_saw(spark):
@@ -476,27 +508,73 @@ def test_language_model_prefers_the_order_it_saw(spark):
     assert found[102].n_known == 1
 
 
+def trigram_scores(texts, train):
+    """The model's formula on plain counts."""
+    rows = [lower_words(t) for t in texts]
+    one, two, three, after = Counter(), Counter(), Counter(), {}
+    for words, learn in zip(rows, train, strict=True):
+        if learn:
+            s = ["START", *words]
+            one.update(words)
+            two.update(zip(s, s[1:], strict=False))
+            for x in zip(s, s[1:], s[2:], strict=False):
+                three[x] += 1
+                after.setdefault(x[:2], set()).add(x[2])
+    n, v = sum(one.values()), len(one)
+    one["START"] = one[None]
+
+    def probability(u, v_, w):
+        alone = (one[w] + 0.1) / (n + 0.1 * (v + 1))
+        p = (two[v_, w] + language_model.MU * alone) / (one[v_] + language_model.MU)
+        c = two[u, v_]
+        return max(three[u, v_, w] - language_model.D, 0) / c + language_model.D * len(after[u, v_]) / c * p if c else p
+
+    return [sum(math.log10(probability(*x)) for x in zip([None, "START", *w], ["START", *w], w, strict=False)) for w in rows]
+
+
+def test_language_model_score_against_plain_counts(spark, docs):
+    rows = docs.collect()
+    want = trigram_scores([r.text for r in rows], [r.doc_id % 4 != 0 for r in rows])
+    found = {r.doc_id: r for r in language_model.score(docs, F.col("doc_id") % 4 != 0).collect()}
+    step = -elias_fano.Codebook.LOWEST / 254
+    for r, w in zip(rows, want, strict=True):
+        got = found[r.doc_id]
+        assert w - 2 * step * got.n_tokens <= got.score <= w + 1e-6  # codes are rounded down by less than a step each
+
+
+@pytest.mark.parametrize("units, shards", [(1, 1), (3, 7), (2, 300)])
+def test_units_and_shards_change_nothing(units, shards):
+    texts = [t or "" for _, t in documents(5, 40)]
+    train = np.arange(len(texts)) % 3 != 0
+    parts = [language_model.Unit(pa.array(texts[k::units]), train[k::units], shards) for k in range(units)]
+    answers, total = [[] for _ in parts], np.zeros(2, int)
+    for s in range(shards):
+        asked = [(k, q) for k, u in enumerate(parts) if (q := u.question(s)) is not None]
+        if asked:
+            found, sums = language_model._answers([q for _, q in asked])
+            total += sums
+            for (k, _), a in zip(asked, found, strict=True):
+                answers[k].append((s, a))
+    got = np.zeros(len(texts))
+    for k, u in enumerate(parts):
+        got[k::units] = language_model._scored(u, answers[k], *total)[2]
+    whole = language_model.Unit(pa.array(texts), train, 1)
+    (answer,), sums = language_model._answers([whole.question(0)])
+    assert sums == total.tolist()
+    # Only a word's followers, dealt over other contexts, are quantised against other totals.
+    assert np.abs(got - language_model._scored(whole, [(0, answer)], *sums)[2]).max() <= 0.04 * max(len(t.split()) + 1 for t in texts)
+
+
 def test_probabilities_after_a_context_sum_to_one():
-    """What a shard answers, with the rest of the formula: over all classes and words, known and unknown, at most one is given out."""
-    texts = pa.array(["a b a c a b d", "b a b", "c c a e"])
-    unit = language_model.Unit(texts, np.ones(3, bool), 1)
-    answers, sums = language_model._answers([unit.question(0)])
-    at = [16, *(16 + np.cumsum(np.frombuffer(answers[0], np.uint32, 4).astype(int))).tolist()]
-    counts, followed, distinct = (language_model._unsmall(answers[0][at[i] : at[i + 1]]) for i in range(3))
-    codes = elias_fano.Codebook().decode(np.frombuffer(answers[0][at[3] : at[4]], np.uint8))
-    known = np.array(sums, float).reshape(2, language_model.CLASSES)
-    masses = known[0] + 0.1 * known[1] + 0.1
-    a = unit.token[0]
-    own = np.flatnonzero(unit.context[np.unique(unit.pair, return_index=True)[1]] == a)
-    runs = np.unique(unit.run[own])
-    total = 0.0
-    for b in range(language_model.CLASSES):
-        mine = [r for r in runs if unit.contexts[unit.run_starts[r]] % language_model.CLASSES == b]
-        c = followed[mine[0]] if mine else 0
-        first = codes[[p for p in own if mine and unit.run[p] == mine[0]]].sum()
-        rest = language_model.D * distinct[mine[0]] / c if c else 1.0
-        total += (c + language_model.MU * masses[b] / masses.sum()) / (counts[a] + language_model.MU) * (first + rest)
-    assert 0.9 < total <= 1 + 1e-9
+    learned = ["a b a c a b d", "b a b", "c c a e", "a b a"]
+    words = [*"abcde", "END", "unknown"]
+    for context in (["a", "b"], ["b", "a"], ["a"], ["e", "e"], ["z", "a"]):
+        asked = [" ".join([*context, *([] if w == "END" else [w])]) for w in words]
+        unit = language_model.Unit(pa.array(learned + asked), np.arange(len(learned) + len(asked)) < len(learned), 1)
+        (answer,), sums = language_model._answers([unit.question(0)])
+        p = language_model._probabilities(unit, [(0, answer)], *sums)[2]
+        total = p[unit.starts[len(learned) :] + len(context)].sum()
+        assert 0.85 < total <= 1 + 1e-9
 
 
 def test_language_model_beats_its_base_on_repeated_patterns(spark):
