@@ -41,8 +41,13 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that articles are made of; a div or section may hold anything.
 PROSE = HEADINGS | set("p ul ol dl blockquote pre table figure address hr".split())
 
+#: Boxes that are a menu if they have as many links and hardly other text.
+BOXES, MENU_LINKS = set("ul ol menu dir div section table dl".split()), 5
+
 #: Elements, roles and words of class or id that mark what is not the article (fixed values).
-DROPPED = set("nav header footer aside form script style noscript template iframe object svg math canvas audio video button select textarea input dialog menu head title noembed noframes search fieldset label".split())
+DROPPED = set("nav footer aside script style noscript template iframe object svg math canvas audio video button select textarea input dialog menu head title noembed noframes search label".split())
+#: Dropped unless they hold the article or most of the page's text: pages wrapped whole in a form are common.
+WRAPPERS = set("form fieldset header".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: A class or id made of such words, alone or with words of BESIDE, names a part that is left out. A name that only has one
 #: of them, or is one of TOPICS, which are titles of sections as well, does so where most of the part's text is linked. Names
@@ -56,7 +61,12 @@ TOPICS = set("discussion related recommended recommendations copyright disclaime
 #: Names of what readers wrote, which may be longer than an article that stands elsewhere on the page.
 READERS = set("comment comments commentlist respond disqus".split())
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_MARKS = r"<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?"
+_NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
+#: Comments and the like; with tags whose quoted values may hold a >; with tags that end at the next one.
+_MARK = re.compile(f"{_MARKS}|(?!)(())()", re.S)
+_QUOTED = re.compile(rf"{_MARKS}|{_NAME}((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_LOOSE = re.compile(f"{_MARKS}|{_NAME}([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -68,12 +78,14 @@ class _Page:
         self.tag, self.parent, self.until, self.dropped, self.suspect = ["#root"], [-1], [0], [False], [""]
         self.segments: list[tuple[int, int, str, int]] = []  # node, block, text, number of nodes begun before it
         self.stack, self.block = [0], 0
+        self.open: dict[str, list[int]] = {}  # where elements of each name stand on the stack
         self._parse(html)
         while self.stack:
             self.until[self.stack.pop()] = len(self.tag)
 
     def _parse(self, html: str) -> None:
         at, raw = 0, ""
+        last, quotes = html.rfind(">"), True
         while at < len(html):
             if raw:
                 m = re.compile(rf"</{raw}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -82,7 +94,13 @@ class _Page:
                 self._close(raw)
                 at, raw = (m.end() if m else stop), ""
                 continue
-            m = _TOKEN.search(html, at)
+            # A tag whose quotes do not close is read up to the next >, and so are all behind it: no place is searched twice.
+            pattern = _MARK if at > last else _QUOTED if quotes else _LOOSE
+            m = pattern.search(html, at)
+            if pattern is _QUOTED and (not m or html.find("<", at, m.start()) >= 0):
+                loose = _LOOSE.search(html, at)
+                if loose and (not m or loose.start() < m.start()):
+                    m, quotes = loose, False
             if not m:
                 rest = html[at:]
                 if (cut := re.search(r"</?[a-zA-Z][^>]*$|<![^>]*$", rest)) is not None:  # a tag that the end of the page cut off
@@ -91,16 +109,15 @@ class _Page:
                 return
             self._text(html[at : m.start()])
             at = m.end()
-            name = (m[3] or m[6] or "").lower()
+            name = (m[3] or "").lower()
             if m[1] is not None:
                 self._text(m[1], decode=False)
-            elif name and (m[2] or m[5]):
+            elif name and m[2]:
                 if name in BLOCK:
                     self.block += 1
                 self._close(name)
             elif name:
-                attributes = m[4] or m[7] or ""
-                self._open(name, attributes)
+                self._open(name, m[4])
                 if name in RAW:
                     raw = name
                 elif name in VOID:
@@ -127,20 +144,25 @@ class _Page:
         self.until.append(0)
         self.dropped.append(name in DROPPED)
         suspicion = "" if not found or name in ("html", "body") else _suspicion(name, found)
-        if suspicion not in ("", "hidden") and any(self.tag[i] in ("pre", "code") for i in self.stack):  # names of code's parts
+        if suspicion not in ("", "hidden") and (self.open.get("pre") or self.open.get("code")):  # names of code's parts
             suspicion = ""
+        if not suspicion and name in WRAPPERS:
+            suspicion = "partly" if name == "header" and (self.open.get("article") or self.open.get("main")) else "wrapper"
         self.suspect.append(suspicion)
+        self.open.setdefault(name, []).append(len(self.stack))
         self.stack.append(len(self.tag) - 1)
 
     def _close(self, name: str, barriers: list[str] | None = None) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tag[self.stack[depth]]
-            if tag == name:
-                while len(self.stack) > depth:
-                    self.until[self.stack.pop()] = len(self.tag)
-                return
-            if barriers and tag in barriers:
-                return
+        places = self.open.get(name)
+        if not places:
+            return
+        depth = places[-1]
+        if barriers and any(self.open.get(b) and self.open[b][-1] > depth for b in barriers):
+            return
+        while len(self.stack) > depth:
+            i = self.stack.pop()
+            self.open[self.tag[i]].pop()
+            self.until[i] = len(self.tag)
 
 
 def _suspicion(tag: str, attributes: dict[str, str]) -> str:
@@ -167,12 +189,13 @@ def _suspicion(tag: str, attributes: dict[str, str]) -> str:
 def _leave_out(page: _Page) -> None:
     """Mark as dropped what is below a dropped node, and the suspects that their text does not clear."""
     n = len(page.tag)
-    inner = [0] * (n + 1)  # elements that hold or head an article, before each node
+    inner, holders = [0] * (n + 1), [0] * (n + 1)  # elements that hold or head an article, and that hold one, before each node
     linked = [False] * n
     for i in range(n):
         if i and page.dropped[page.parent[i]]:
             page.dropped[i] = True
         linked[i] = i > 0 and (linked[page.parent[i]] or page.tag[i] == "a")
+        holders[i + 1] = holders[i] + (page.tag[i] in ("article", "main") and not page.dropped[i])
         inner[i + 1] = inner[i] + (page.tag[i] in ("article", "main", "h1") and not page.dropped[i])
     if not any(page.suspect):
         return
@@ -190,7 +213,8 @@ def _leave_out(page: _Page) -> None:
             page.dropped[i] = True
         elif page.suspect[i]:
             # A hint on an element around the article (say, "sidebar") says nothing about the article in it.
-            around = inner[page.until[i]] - inner[i + 1]
+            count = holders if page.suspect[i] == "wrapper" else inner
+            around = count[page.until[i]] - count[i + 1]
             # Nor does one on most of the text, if it is not what readers say of an article elsewhere.
             most = 2 * chars[i] > chars[0] and not (page.suspect[i] == "readers" and inner[n] > inner[page.until[i]] - inner[i])
             if page.suspect[i] == "hidden":
@@ -213,28 +237,31 @@ class _Part:
     segments: list[int] = field(default_factory=list)
 
 
-def _article(page: _Page, best: int, body: int, chars: list[int], links: list[int], tags: list[int]) -> list[bool]:
+def _article(page: _Page, best: int, body: int, chars: list[int], links: list[int], tags: list[int], link_tags: list[int]) -> list[bool]:
     """For each segment whether it stands in the article, of which ``best`` is a part or the whole.
 
-    The innermost element on the path from the best node to the body that says it is the article is one. Without one, the
-    path sets a threshold: half the characters for each tag of its sparsest node, linked ones counted as their opposite.
-    (Composite densities grow with a node's size, so that a paragraph's and a whole article's do not compare.) On each level
-    parts that reach it belong to the article, and of the others those without many links that stand between such parts, or
-    are prose and touch them.
+    The path from the best node to the body sets a threshold: half the characters for each tag of its sparsest node, linked
+    ones counted as their opposite. (Composite densities grow with a node's size, so that a paragraph's and a whole
+    article's do not compare.) On each level parts that reach it belong to the article, and of the others those without
+    many links that stand between such parts, or are prose and touch them. An element on the path that says that it is the
+    article or the main part ends the way up, and within it all parts belong that are not mostly links. Lists and other
+    boxes of nothing but links are left out wherever they stand.
     """
     n = len(page.tag)
     path = [best]
     while path[-1] > 0 and path[-1] != body:
         path.append(page.parent[path[-1]])
-    named = next((i for i in path if page.tag[i] in ("article", "main")), None)
+    named = next((k for k, i in enumerate(path) if page.tag[i] in ("article", "main")), None)
     inside = [False] * n
     kept = [False] * len(page.segments)
 
     def take(i: int) -> None:
         inside[i : page.until[i]] = [True] * (page.until[i] - i)
 
-    take(best if named is None else named)
-    if named is None and len(path) > 1:
+    take(best)
+    if named is not None:
+        path = path[: named + 1]
+    if len(path) > 1:
         threshold = min((chars[i] - 2 * links[i]) / max(1, tags[i]) for i in path) / 2
         own: dict[int, list[int]] = {i: [] for i in path[1:]}
         for k, (node, *_) in enumerate(page.segments):
@@ -245,7 +272,7 @@ def _article(page: _Page, best: int, body: int, chars: list[int], links: list[in
             for p in parts:
                 p.core = p.core or p.chars - 2 * p.links >= max(1.0, threshold * p.tags)
             core = [k for k, p in enumerate(parts) if p.core]
-            first, last = core[0], core[-1]
+            first, last = (core[0], core[-1]) if named is None else (0, len(parts) - 1)
             while first > 0 and parts[first - 1].prose and 2 * parts[first - 1].links <= parts[first - 1].chars:
                 first -= 1
             while last + 1 < len(parts) and parts[last + 1].prose and 2 * parts[last + 1].links <= parts[last + 1].chars:
@@ -253,9 +280,16 @@ def _article(page: _Page, best: int, body: int, chars: list[int], links: list[in
             for p in parts[first : last + 1]:
                 if p.core or 2 * p.links <= p.chars:
                     for c in p.nodes:
-                        take(c)
+                        if c != on:  # of that what belongs is taken already
+                            take(c)
                     for k in p.segments:
                         kept[k] = True
+    i = 1
+    while i < n:
+        box = inside[i] and i != best and page.tag[i] in BOXES and link_tags[i] >= MENU_LINKS and 10 * links[i] >= 9 * chars[i]
+        if box:
+            inside[i : page.until[i]] = [False] * (page.until[i] - i)
+        i = page.until[i] if box else i + 1
     return [k or inside[node] for k, (node, *_) in zip(kept, page.segments, strict=True)]
 
 
@@ -338,7 +372,7 @@ def main_text(html: str | None) -> str:
         if not page.dropped[i]:
             sums[page.parent[i]] += densities[i]
     best = max((i for i in range(n) if not page.dropped[i] and chars[i]), key=lambda i: (sums[i], i), default=0)
-    kept = _article(page, best, body, chars, links, tags)
+    kept = _article(page, best, body, chars, links, tags, link_tags)
     out: list[str] = []
     last = None
     for k, (node, block, text, _) in enumerate(page.segments):

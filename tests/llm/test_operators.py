@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -181,6 +182,36 @@ def test_html_empty(page):
     assert html.main_text(page) == ""
 
 
+def test_html_links_beside_the_paragraphs_of_a_main_part():
+    links = "<ul>" + "".join(f"<li><a href=#>Link number {i}</a></li>" for i in range(20)) + "</ul>"
+    a = prose("a", 8)
+    for inner in (paragraphs(a) + links, links + paragraphs(a), f"<div>{paragraphs(a)}</div><div>{links}</div>", f"<div>{paragraphs(a)}{links}</div>"):
+        assert html.main_text(f"<body><main>{inner}</main></body>").split("\n") == a
+    few = '<ul><li><a href="#1">One note</a></li><li>Another, without a link</li></ul>'
+    assert html.main_text(f"<body><article>{paragraphs(a)}{few}</article></body>").split("\n") == [*a, "One note", "Another, without a link"]
+
+
+def test_html_pages_in_a_form_and_headers_of_articles():
+    a = prose("a", 4)
+    assert html.main_text(f"<body><form action=/><input name=q>{paragraphs(a)}<button>Send</button></form></body>").split("\n") == a
+    page = f"<body><header><h1>Site</h1><a href=/>Home</a></header><article><header><h1>Title</h1><p>By me</p></header>{paragraphs(a)}<form>Sign up <input></form></article></body>"
+    assert html.main_text(page).split("\n") == ["Title", "By me", *a]
+
+
+@pytest.mark.parametrize("name", ["social-history", "post related", "related", "social"])
+def test_html_articles_of_odd_names(name):
+    a = prose("a", 4)
+    for tag in ("div", "section", "article"):
+        assert html.main_text(f'<body>{LINKS}<{tag} class="{name}">{paragraphs(a)}</{tag}></body>').split("\n") == a
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" + "</div>" * 100_000, "<div>" * 50_000 + "</b>" * 50_000, '<a "' * 100_000, '<a "x>' * 100_001, '<a "<b>" ' * 50_001, "<a it's>" * 50_001, "<ul><li>" * 50_000, "<p><b>" * 50_000, "<" * 100_000, "<!--" * 100_000, '<div class="ad x">' * 50_000 + "x"])
+def test_html_takes_time_in_proportion(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 6
+
+
 def test_html_frame(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a  b</p>", "x"), (1, "u", None, "x"), (None, None, "plain &amp; text", "x"), (2, "u", "<p>" + "deep <div>" * 500 + "</p>", "x")], "page_id long, url string, html string, text string")
     found = {(r.page_id, r.text, r.n_chars) for r in html.extract(rows).collect() if r.page_id != 2}
