@@ -3,12 +3,14 @@
 A window is ``window`` consecutive words of one document. Its minimiser is the smallest hash of its runs of ``run`` words;
 consecutive windows with the same minimiser travel as one packed string (a super-k-mer) to the minimiser's bucket, where
 sorting brings equal windows together. Only minimisers that two documents share travel at all: a window without one is in
-one document alone.
+one document alone. The bucket of a minimiser that very many documents share is divided by minimisers under other hash
+functions, and of equal strings in it only the earliest document's is sorted: the windows of all others stand in that one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.frames import cut, partitions
+from tessera.llm.frames import cut, maybe_in, partitions, quoted
 
-#: Documents that share a minimiser beyond which its windows are counted by key instead of in one bucket.
-HOT = 20_000
+#: Documents that share a minimiser beyond which further minimisers divide its bucket and equal strings become one.
+HOT = 5_000
+#: Those further minimisers.
+MORE = 2
 #: Words sorted at once in a bucket task.
 SORTED_WORDS = 600_000
 NO_ID = (1 << 63) - 1
@@ -31,13 +35,7 @@ def minimisers(words: W.Words, window: int, run: int) -> tuple[np.ndarray, np.nd
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    low = W.runs(W.hashes(words), run)
-    width, span = window - run + 1, 1
-    while 2 * span <= width:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if span < width:
-        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
+    low = _least(W.runs(W.hashes(words), run), window - run + 1)
     valid = np.zeros(n + 1, np.int32)
     whole = words.counts >= window
     np.add.at(valid, words.first[:-1][whole], 1)
@@ -51,6 +49,31 @@ def minimisers(words: W.Words, window: int, run: int) -> tuple[np.ndarray, np.nd
     return first, np.flatnonzero(stop), low[first]
 
 
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values."""
+    span = 1
+    while 2 * span <= width:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if span < width else values
+
+
+def divided(words: W.Words, first: np.ndarray, last: np.ndarray, low: np.ndarray, window: int, run: int) -> tuple[np.ndarray, ...]:
+    """(string, first, last, key) of the parts of some super-k-mers whose windows share further minimisers, too."""
+    key = np.full(len(words) - window + 1, 0, np.uint64)
+    h = W.runs(W.hashes(words), run)
+    for k in range(MORE):
+        key = W.mix(key + _least(W.mix(h + np.uint64(k + 1)), window - run + 1))
+    spans = last - first + 1
+    string = np.repeat(np.arange(len(first)), spans)
+    windows = np.repeat(first - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
+    key = W.mix(key[windows] + low[string])
+    new = np.concatenate([[True], (string[1:] != string[:-1]) | (key[1:] != key[:-1])])
+    begin = np.flatnonzero(new)
+    end = np.concatenate([begin[1:], [len(windows)]]) - 1
+    return string[begin], windows[begin], windows[end], key[begin]
+
+
 def _chunks_of(batches: Iterator[pa.RecordBatch], text: int):
     """(batch rows a to b, their words) of whole texts, a few MB at a time."""
     for batch in batches:
@@ -73,8 +96,7 @@ def _slim(window: int, run: int):
 
 
 def _supers(window: int, run: int):
-    """Rows for the buckets (packed) and, for hot minimisers, for each window (packed is null)."""
-    names = ["bucket", "other", "doc", "tie", "start", "packed"]
+    """Rows for the buckets: ``bucket, hot, one, two, doc, tie, start, span, packed``; only hot ones have a digest (one, two)."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in _chunks_of(batches, 2):
@@ -96,30 +118,20 @@ def _supers(window: int, run: int):
             there = known[at] == asked if len(known) else np.zeros(len(asked), bool)
             is_hot = there & hot[at] if len(known) else there
             docs, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+
+            def rows(first: np.ndarray, last: np.ndarray, bucket: np.ndarray, doc: np.ndarray, hot: bool) -> Iterator[pa.RecordBatch]:
+                for a in range(0, len(first), 4000):
+                    f, l, d = first[a : a + 4000], last[a : a + 4000], doc[a : a + 4000]
+                    packed = [words.data[words.starts[i] : words.ends[j + window - 1]].tobytes() for i, j in zip(f, l, strict=True)]
+                    digest = np.frombuffer(b"".join(blake2b(x, digest_size=16).digest() for x in packed) if hot else bytes(16 * len(f)), np.int64).reshape(-1, 2)
+                    columns = [bucket[a : a + 4000].view(np.int64), np.full(len(f), hot), digest[:, 0], digest[:, 1], docs[d], ties[d], f - words.first[d], l - f + 1]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in columns], pa.array(packed, pa.binary())], "bucket hot one two doc tie start span packed".split())
+
             own = there & ~is_hot
-            packed = [words.data[words.starts[i] : words.ends[j + window - 1]].tobytes() for i, j in zip(first[own], last[own], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(low[own].view(np.int64)),
-                    pa.array(np.zeros(own.sum(), np.int64)),
-                    pa.array(docs[doc[own]]),
-                    pa.array(ties[doc[own]]),
-                    pa.array(first[own] - words.first[doc[own]], pa.int64()),
-                    pa.array(packed, pa.binary()),
-                ],
-                names,
-            )
+            yield from rows(first[own], last[own], low[own], doc[own], False)
             if is_hot.any():
-                spans = last[is_hot] - first[is_hot] + 1
-                start = np.repeat(first[is_hot] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
-                of = np.repeat(doc[is_hot], spans)
-                h = W.hashes(words)
-                one, two = W.runs(h, window)[start], W.runs(W.mix(h + np.uint64(1)), window)[start]
-                for a in range(0, len(start), 200_000):
-                    s = slice(a, a + 200_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(one[s].view(np.int64)), pa.array(two[s].view(np.int64)), pa.array(docs[of[s]]), pa.array(ties[of[s]]), pa.array(start[s] - words.first[of[s]], pa.int64()), pa.nulls(len(start[s]), pa.binary())], names
-                    )
+                string, f, l, key = divided(words, first[is_hot], last[is_hot], low[is_hot], window, run)
+                yield from rows(f, l, key, doc[is_hot][string], True)
 
     return mapped
 
@@ -165,20 +177,18 @@ def later_windows(packed: pa.Array, docs: np.ndarray, window: int) -> np.ndarray
     return np.stack([row[first], first - words.first[row[first]], last - words.first[row[first]]], 1) if len(first) else np.zeros((0, 3), np.int64)
 
 
-def _sorted_buckets(window: int):
-    """From rows in the order of ``bucket``: ranges of words whose windows an earlier document has; whole buckets at a time."""
+def _sorted_buckets(window: int, names: list[str]):
+    """From rows (bucket, doc, packed, names) in the order of ``bucket``: names, and ranges of windows [from, to] that an earlier document has."""
+
+    def answer(table: pa.Table) -> pa.RecordBatch:
+        found = later_windows(table.column("packed").combine_chunks(), table.column("doc").to_numpy(), window)
+        at = pa.array(found[:, 0])
+        columns = [*[table.column(n).take(at) for n in names], pa.array(found[:, 1]), pa.array(found[:, 2])]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], [*names, "from", "to"])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-
-        def answer(table: pa.Table) -> pa.RecordBatch:
-            found = later_windows(table.column("packed").combine_chunks(), table.column("doc").to_numpy(), window)
-            at = pa.array(found[:, 0])
-            start = table.column("start").to_numpy()[found[:, 0]]
-            columns = [table.column("doc").take(at), table.column("tie").take(at), pa.array(start + found[:, 1]), pa.array(start + found[:, 2] + window)]
-            return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["doc", "tie", "from", "to"])
-
         for batch in batches:
             for a in range(0, len(batch), 2000):
                 part = batch.slice(a, 2000)
@@ -204,41 +214,56 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", window: i
 
     A word goes if a window over it also starts in a row with a smaller ``id``; windows are judged on the input. Words are
     ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none. Rows with the same id are one document's: they take nothing
-    from each other. A null id is larger than all others. ``df`` may have columns of any names but ``dedup`` (replaced).
+    from each other. A null id is larger than all others. An empty table gives an empty result. ``df`` may have columns of
+    any names but ``dedup`` (replaced).
 
-    Texts that equal one with a smaller id need no windows: all goes if there is any window. A minimiser that more than
-    ``hot`` documents share has its windows counted by key, with partial sums and a join that Spark can split, so a bucket
-    task never holds more than ``hot`` packed strings of one minimiser.
+    Texts that equal one with a smaller id need no windows: all goes if there is any window. Documents without a shared
+    minimiser are never shuffled with their texts. Of a minimiser that more than ``hot`` documents share see the module.
     """
     spark = df.sparkSession
-    key = [F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(text)).alias("tie")]
-    value = F.coalesce(F.col(text), F.lit("")).alias("text")
+    key = [F.coalesce(quoted(id).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(quoted(text)).alias("tie")]
+    value = F.coalesce(quoted(text), F.lit("")).alias("text")
     rows = df.select(*key, value)
     slim = cut(rows.mapInArrow(_slim(window, run), "doc long, tie long, low long"))
     shared = slim.groupBy("low").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    shared = shared.select("low", (F.col("n") > hot).alias("hot"))
+    shared = cut(shared.select("low", (F.col("n") > hot).alias("hot")))
 
-    digest = df.select(*key, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("md5"))
-    earliest = digest.groupBy("md5").agg(F.min("doc").alias("lo"))
-    copies = digest.join(earliest, "md5").where("lo < doc").select("doc", "tie").distinct()
+    digest = df.where(F.length(quoted(text)) >= 2 * window - 1).select(*key, F.md5(quoted(text)).alias("md5"))
+    earliest = digest.groupBy("md5").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("md5", "lo")
+    copies = cut(digest.join(earliest, "md5").where("lo < doc").select("doc", "tie").distinct())
 
-    lists = slim.join(shared, "low").join(copies, ["doc", "tie"], "left_anti").groupBy("doc", "tie").agg(F.collect_list(F.struct("low", "hot")).alias("shared"))
-    schema = "bucket long, other long, doc long, tie long, start long, packed binary"
-    supers = rows.join(lists, ["doc", "tie"]).select("doc", "tie", "text", "shared").mapInArrow(_supers(window, run), schema)
+    lists = slim.where(maybe_in(shared, "low")).join(shared, "low").join(copies, ["doc", "tie"], "left_anti")
+    lists = cut(lists.groupBy("doc", "tie").agg(F.collect_list(F.struct("low", "hot")).alias("shared")))
+    schema = "bucket long, hot boolean, one long, two long, doc long, tie long, start long, span long, packed binary"
+    supers = rows.where(maybe_in(lists, "doc")).join(lists, ["doc", "tie"]).select("doc", "tie", "text", "shared").mapInArrow(_supers(window, run), schema)
     any_hot = bool(shared.where("hot").head(1))
     if any_hot:
         supers = cut(supers)
-    in_buckets = supers.where(F.col("packed").isNotNull()).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    ranges = in_buckets.mapInArrow(_sorted_buckets(window), "doc long, tie long, from long, to long")
+
+    def flagged(rows: DataFrame, names: list[str]) -> DataFrame:
+        in_buckets = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+        return in_buckets.mapInArrow(_sorted_buckets(window, names), ", ".join(f"`{n}` long" for n in [*names, "from", "to"]))
+
+    first = flagged(supers.where("not hot").select("bucket", "doc", "tie", "start", "packed"), ["doc", "tie", "start"])
+    ranges = first.select("doc", "tie", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to") + window).alias("to"))
     if any_hot:
-        single = supers.where(F.col("packed").isNull()).select("bucket", "other", "doc", "tie", "start")
-        least = single.groupBy("bucket", "other").agg(F.min("doc").alias("lo"))
-        later = single.join(least, ["bucket", "other"]).where("lo < doc")
-        ranges = ranges.unionByName(later.select("doc", "tie", F.col("start").alias("from"), (F.col("start") + window).alias("to")))
-    ranges = cut(ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("from", "to")).alias("ranges")).unionByName(copies.withColumn("ranges", F.array(F.struct(F.lit(0).cast("long").alias("from"), F.lit(-1).cast("long").alias("to"))))))
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "dedup"]).alias("row"), *key)
-    joined = whole.join(ranges, ["doc", "tie"], "left").withColumn("dedup", _removed(F.col(f"row.`{text}`"), F.col("ranges"), window))
-    return joined.select("row.*", "dedup")
+        same = ["bucket", "one", "two"]
+        crowd = supers.where("hot")
+        strings = cut(crowd.groupBy(*same).agg(F.min("doc").alias("doc"), F.any_value("packed").alias("packed")))
+        own = flagged(strings, same)
+        members = crowd.drop("packed").join(strings.select(*same, F.col("doc").alias("lo")), same)
+        later = members.where("lo < doc").select("doc", "tie", F.col("start").alias("from"), (F.col("start") + F.col("span") - 1 + window).alias("to"))
+        earliest_too = members.where("lo = doc").join(own, same).select("doc", "tie", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to") + window).alias("to"))
+        ranges = ranges.unionByName(later).unionByName(earliest_too)
+    whole_text = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.lit(-1).cast("long").alias("to")))
+    ranges = cut(ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("from", "to")).alias("ranges")).unionByName(copies.withColumn("ranges", whole_text)))
+    whole = df.select(F.struct(*[quoted(c) for c in df.columns if c != "dedup"]).alias("row"), *key)
+    touched = maybe_in(ranges, "doc")
+    # Only documents that lose words meet their ranges in a shuffle; the others stay where they are.
+    joined = whole.where(touched).join(ranges, ["doc", "tie"], "left").select("row", "ranges")
+    alone = whole.where(~touched).select("row", F.lit(None).cast("array<struct<from:long,to:long>>").alias("ranges"))
+    found = joined.unionByName(alone).withColumn("dedup", _removed(F.col(f"row.`{text.replace('`', '``')}`"), F.col("ranges"), window))
+    return found.select("row.*", "dedup")
 
 
 def _removed(text: Column, ranges: Column, window: int) -> Column:
