@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.frames import cut, partitions
+from tessera.llm.frames import cut
 
 #: Bits that vote together: three counters of LANE bits in a long, so LANE longs count 3 * LANE bits.
 LANE = 21
 WORD_BITS = 3 * LANE
 #: Terms of one row counted in one set of counters, so that no counter runs over.
 CHUNK_TERMS = (1 << LANE) - 1
+#: Ids that the driver looks at to deal rows into buckets, and a bucket's bytes.
+QUANTILES, BUCKET_BYTES = 2048, 16 << 20
 LANES = (1 << 2 * LANE) | (1 << LANE) | 1
 SEPARATORS = r"[ \t-\r]+"
 
@@ -44,12 +46,12 @@ def fingerprints(df: DataFrame, keys: list[str], texts: list[str], words: int =
     terms = terms.withColumn("__chunk", F.floor(F.coalesce(F.col("__at"), F.lit(0)) / CHUNK_TERMS))
     sums = []
     for w in range(words):
-        source = F.col("__term") if w == 0 else F.xxhash64(F.col("__term"), F.lit(w))
+        source = F.col("__term") if w == 0 else F.when(F.col("__term").isNotNull(), F.xxhash64(F.col("__term"), F.lit(w)))
         sums += [F.sum(F.shiftrightunsigned(source, i).bitwiseAND(F.lit(LANES))).alias(f"__s{w}_{i}") for i in range(LANE)]
     counted = terms.groupBy(*keys, "__row", "__of", "__chunk").agg(F.count("__term").alias("__n"), F.count_if(F.coalesce(F.col("__at"), F.lit(0)) == 0).alias("__copies"), *sums)
 
     def lane(column: Column, k: int) -> Column:
-        return F.shiftrightunsigned(column, k * LANE).bitwiseAND(F.lit(CHUNK_TERMS))
+        return F.shiftrightunsigned(column, k * LANE).bitwiseAND(F.lit((1 << LANE) - 1))
 
     total = counted.groupBy(*keys, "__of").agg(
         F.sum("__n").alias("__n"), F.sum("__copies").alias("copies"), *[F.sum(lane(F.col(f"__s{w}_{i}"), k)).alias(f"__b{w}_{k * LANE + i}") for w in range(words) for k in range(3) for i in range(LANE)]
@@ -80,42 +82,65 @@ def likeness(a: Column, b: Column) -> Column:
     return 1.0 - distance(a, b) / (F.size(a) * float(WORD_BITS))
 
 
-def with_next(df: DataFrame, id: str, payload: str, tie: str, buckets: int | None = None) -> DataFrame:
+def with_next(df: DataFrame, id: str, payload: str, tie: str, size: Column, bucket_bytes: int | None = None) -> DataFrame:
     """Add ``next_`` + payload: the payload of the next row in descending ``id``, after the last row that of the first.
 
-    Rows with the same id stand in the order of ``tie``; null ids stand below all others. Ids are dealt into ``buckets``
-    (twice the shuffle partitions by default) by approximate quantiles. Order within a bucket is a window; across buckets
-    it needs the head of each bucket, which is dealt to the next bucket as well. No task sees more than a bucket, and the
-    driver holds one id of each bucket.
+    Rows with the same id stand in the order of ``tie`` (a long); null ids stand below all others. Rows are dealt into
+    buckets of about ``bucket_bytes`` (BUCKET_BYTES), as ``size`` gives a row's bytes: ids by approximate quantiles and evenly between them, an
+    id that fills a quantile alone by its ties. Order within a bucket is a window; across buckets it needs the head of each
+    bucket, which is dealt to the bucket before it as well. The driver holds at most QUANTILES ids; the heads are a table, 40
+    bytes for each bucket, which Spark broadcasts if it is small.
     """
     key, at, copy = "__key", "__bucket", "__copy"
     rows = df.withColumn(key, F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))))
-    buckets = buckets or 2 * partitions(df.sparkSession)
-    found = rows.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] if buckets > 1 else None
-    rows = rows.withColumn(at, _bucket(F.col(key), sorted(set(found or []))))
-    heads = sorted((r[at], r[key]) for r in rows.groupBy(at).agg(F.max(key).alias(key)).collect())
-    ring = {head: heads[(i + 1) % len(heads)][0] for i, (_, head) in enumerate(heads)}
+    found = rows.agg(F.sum(size).alias("bytes"), F.percentile_approx(key, [i / QUANTILES for i in range(QUANTILES + 1)], 20 * QUANTILES).alias("ids")).first()
+    rows = rows.withColumn(at, _bucket(F.col(key), F.col(tie), found["ids"] or [], max(1, -(-(found["bytes"] or 0) // (bucket_bytes or BUCKET_BYTES)))))
+    # Of each bucket the first row in the order, and the bucket that comes before it.
+    first = rows.groupBy(at).agg(F.max(F.struct(F.col(key), F.bitwise_not(F.col(tie)).alias("not_tie"))).alias("first"))
+    ring = Window.orderBy(at)
+    before = F.coalesce(F.lead(at).over(ring), F.first(at).over(ring))
+    heads = cut(first.select(at, F.col(f"first.{key}").alias(key), F.bitwise_not(F.col("first.not_tie")).alias(tie), before.alias("__lent")))
     places = F.array(F.struct(F.col(at).alias("at"), F.lit(0).alias("copy")))
-    if ring:
-        lent = F.element_at(F.create_map(*[F.lit(x) for pair in ring.items() for x in pair]), F.col(key))
-        places = F.when(lent.isNull(), places).otherwise(F.array(places[0], F.struct(lent.alias("at"), F.lit(1).alias("copy"))))
-    dealt = rows.withColumn("__to", F.explode(places)).withColumns({at: F.col("__to.at"), copy: F.col("__to.copy")}).drop("__to")
+    places = F.when(F.col("__lent").isNull(), places).otherwise(F.array(places[0], F.struct(F.col("__lent").alias("at"), F.lit(1).alias("copy"))))
+    dealt = rows.join(heads, [at, key, tie], "left").withColumn("__to", F.explode(places)).withColumns({at: F.col("__to.at"), copy: F.col("__to.copy")}).drop("__to", "__lent")
     order = Window.partitionBy(at).orderBy(copy, F.col(key).desc(), tie)
     ringed = dealt.withColumn(f"next_{payload}", F.coalesce(F.lead(payload).over(order), F.col(payload))).where(F.col(copy) == 0)
     return ringed.drop(key, at, copy)
 
 
-def _bucket(id: Column, bounds: list) -> Column:
-    """How many of the sorted bounds are at most the id, by bisection; 0 for null."""
+def _bucket(id: Column, tie: Column, quantiles: list[int], buckets: int) -> Column:
+    """A number that falls, or stays, from each row to the next in descending id and ascending tie; about ``buckets`` of them.
+
+    Quantiles are thinned to as many as there are buckets, or the room between them is divided evenly. Ids that several
+    neighbouring quantiles agree on have a room of their own, which is divided by the ties.
+    """
+    parts = max(1, -(-buckets // QUANTILES))
+    ends = {quantiles[0], quantiles[-1]} if quantiles and parts > 1 else set()
+    quantiles = quantiles[1:-1]
+    step = max(1, (len(quantiles) + 1) // buckets)
+    bounds = {*quantiles[step - 1 :: step], *ends}
+    heavy = {v: n for v in dict.fromkeys(quantiles) if (n := quantiles.count(v)) > max(1, step)} if len(set(quantiles)) < len(quantiles) else {}
+    bounds = sorted({*bounds, *heavy, *(min(v + 1, (1 << 63) - 1) for v in heavy)})
     if not bounds:
-        return F.lit(0)
+        return F.lit(0).cast("long")
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
     table = F.array(*[F.lit(b).cast("long") for b in bounds])
 
-    def step(at: Column, s: Column) -> Column:
+    def down(at: Column, s: Column) -> Column:
         return at + F.when((at + s <= len(bounds)) & (F.get(table, at + s - 1) <= id), s).otherwise(0)
 
-    return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step), F.lit(0))
+    room = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), down)
+    split = {v: max(1, -(-n * buckets // QUANTILES)) for v, n in heavy.items()}
+    most = max([parts, *split.values()])
+    part = F.lit(0).cast("long")
+    if parts > 1:
+        low, high = F.get(table, room - 1).cast("double"), F.get(table, room).cast("double")
+        part = F.coalesce(parts - 1 - F.least(F.floor((id.cast("double") - low) / (high - low) * parts), F.lit(parts - 1)), F.lit(0))
+    if split:
+        share = tie.cast("double") / 2.0**64 + 0.5
+        own = F.element_at(F.create_map(*[F.lit(x) for v, n in split.items() for x in (v, n)]), id)
+        part = F.when(own.isNotNull(), F.least(F.floor(share * own), own - 1)).otherwise(part)
+    return (room.cast("long") * most - part).cast("long")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -161,11 +186,11 @@ def compare_with_edited(df: DataFrame, id: str = "doc_id", text: str = "text", w
     document alone is its own next.
     """
     rows = df.select(F.col(id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("a")).withColumn("__tie", F.xxhash64("a"))
-    rows = with_next(rows, "__id", "a", "__tie").withColumn("b", edited(F.col("a"), F.col("next_a")))
+    rows = with_next(rows, "__id", "a", "__tie", F.octet_length("a") + 16).withColumn("b", edited(F.col("a"), F.col("next_a")))
     rows = rows.select("__id", "__tie", F.length("a").cast("long").alias("n_chars"), F.sha2("b", 256).alias("edited_sha256"), "a", "b")
     found = fingerprints(rows, ["__id", "__tie", "n_chars", "edited_sha256"], ["a", "b"], words)
     found = cut(found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
-    return with_next(found, "__id", "a_bits", "__tie").select(
+    return with_next(found, "__id", "a_bits", "__tie", F.lit(200)).select(
         F.col("__id").alias(id),
         "n_chars",
         "edited_sha256",

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, elias_fano, fingerprints, fm_index, frames, html, language_model, near_duplicates, packing, quality, sharding, substrings, url_filters
@@ -299,6 +300,45 @@ def test_fingerprints(spark, docs):
         assert prints.setdefault(t, r.fingerprint) == r.fingerprint
 
 
+def spark_hash(value, seed=42):
+    """Spark's xxhash64 of a long, an int (as a one-element tuple) or a text."""
+    data = value.encode() if isinstance(value, str) else value[0].to_bytes(4, "little", signed=True) if isinstance(value, tuple) else (value & (1 << 64) - 1).to_bytes(8, "little")
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def test_fingerprint_bits_against_plain_votes(spark, docs):
+    rows = docs.collect()
+    found = {r.doc_id: r.text_bits for r in fingerprints.fingerprints(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"], ["text"]).collect()}
+    for r in rows:
+        hashes = [0, *(spark_hash(w) for w in SPLIT.findall(r.text or ""))]
+        terms = [spark_hash(b, spark_hash(a)) for a, b in zip(hashes, hashes[1:], strict=False)]
+        for w, got in enumerate(found[r.doc_id]):
+            votes = [t if w == 0 else spark_hash((w,), spark_hash(t)) for t in terms]
+            assert got == sum(1 << j for j in range(63) if 2 * sum(v >> j & 1 for v in votes) > len(votes)), (r, w, len(votes))
+
+
+@pytest.mark.parametrize("bytes_", [200, 5000, 10**9])
+def test_next_rows_over_many_buckets(spark, bytes_):
+    draw = random.Random(4)
+    ids = [*draw.sample(range(-(10**15), 10**15), 60), *range(100), *[None] * 80, *[7] * 90]
+    rows = [(i, f"t{k}", draw.getrandbits(63) * draw.choice([1, -1])) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "i long, t string, tie long").repartition(5)
+    got = {r.t: r.next_t for r in fingerprints.with_next(df, "i", "t", "tie", F.lit(100), bytes_).collect()}
+    order = [t for _, t, _ in sorted(rows, key=lambda r: (-r[0] if r[0] is not None else 1 << 64, r[2]))]
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_buckets_follow_the_order_and_divide_a_crowded_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "QUANTILES", 16)
+    draw = random.Random(6)
+    rows = sorted([(i, draw.getrandbits(63) * draw.choice([1, -1])) for i in [*range(0, 4000, 2), *[500] * 4000]], key=lambda r: (-r[0], r[1]))
+    ids = sorted(r[0] for r in rows)
+    quantiles = [ids[min(len(ids) - 1, len(ids) * k // 16)] for k in range(17)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, i long, tie long")
+    found = [r.b for r in df.select("k", fingerprints._bucket(F.col("i"), F.col("tie"), quantiles, 60).alias("b")).orderBy("k").collect()]
+    assert found == sorted(found, reverse=True) and 40 <= len(set(found)) <= 90 and max(Counter(found).values()) < 300
+
+
 def test_fingerprint_counts_run_over_no_lane(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b c d e f g h " * 40)], "id long, t string")
     want = fingerprints.fingerprints(df, ["id"], ["t"]).collect()
