@@ -41,8 +41,8 @@ ASKED, ANSWERED = 9, 5
 
 
 def classes(shards: int) -> int:
-    """Into how many contexts a word's pairs are dealt, by the second word: a word that is a 16th of the text fills no shard."""
-    return max(8, 1 << max(0, shards // 16 - 1).bit_length())
+    """Into how many contexts a word's pairs are dealt, by the second word: a word that is an 8th of the text fills no shard."""
+    return max(8, 1 << max(0, shards // 8 - 1).bit_length())
 
 
 def shard_of(hashes: np.ndarray, bits: int, shards: int) -> np.ndarray:
