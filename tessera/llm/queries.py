@@ -88,7 +88,49 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html, op2_substrings, op3_fingerprints, op4_url_filters, op5_packing, op6_sharding, op7_quality, op8_language_model, op9_decontamination, op10_near_duplicates)}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+_ALNUM = r"regexp_extract_all(coalesce({}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
+    "op2_substrings": f"""
+        WITH docs AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+        windows AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM docs WHERE len(w) >= 50),
+        keyed AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM windows),
+        least AS (SELECT k, min(doc_id) AS lo FROM keyed GROUP BY k HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM keyed JOIN least USING (k) WHERE lo < doc_id),
+        words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM docs),
+        kept AS (SELECT words.doc_id, string_agg(w[words.i], ' ' ORDER BY words.i) AS kept FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i GROUP BY 1),
+        removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)""",
+    "op9_decontamination": f"""
+        WITH docs AS (SELECT doc_id, {_ALNUM.format(_LOWER.format("text"))} AS w FROM documents),
+        items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM.format(_LOWER.format("text"))} AS w FROM benchmark),
+        phrases AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS k
+               FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM phrases),
+        places AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM docs, sizes WHERE len(w) >= n),
+        found AS (SELECT doc_id, i, places.n, item FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM places) places JOIN phrases ON places.n = phrases.n AND places.k = phrases.k),
+        hits AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM found) GROUP BY 1),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found WHERE item IS NOT NULL) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op10_near_duplicates": f"""
+        WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents),
+        shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+        -- Equal sets are one node, so that copies make no pairs.
+        sets AS (SELECT doc_id, n, md5(string_agg(k, chr(10) ORDER BY k)) AS id FROM shingles JOIN sizes USING (doc_id) GROUP BY ALL),
+        nodes AS (SELECT id, n, min(doc_id) AS node FROM sets GROUP BY ALL),
+        members AS (SELECT doc_id, node FROM sets JOIN nodes USING (id)),
+        own AS (SELECT node, n, k FROM nodes JOIN shingles ON node = doc_id),
+        links AS (SELECT a.node AS x, b.node AS y FROM own a JOIN own b ON a.k = b.k AND a.node <> b.node GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        reach(x, y) AS (SELECT node, node FROM nodes UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+        least AS (SELECT x AS node, min(y) AS component FROM reach GROUP BY 1)
+        SELECT docs.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, coalesce(component, docs.doc_id) AS component_id, coalesce(component, docs.doc_id) = docs.doc_id AS kept
+        FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN members USING (doc_id) LEFT JOIN least USING (node)""",
     "op4_url_filters": r"""
         WITH rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
                ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),

@@ -4,6 +4,7 @@ import os
 
 import corpus_pipeline
 import duckdb
+import pytest
 
 import __spark_entry__ as registered
 from tessera.llm import queries
@@ -16,12 +17,14 @@ def test_every_operator_is_registered():
     assert all(sum(q.startswith(f"op{n}_") for q in found) == 1 for n in range(1, 11)) and "pipeline" in found
 
 
-def test_url_sql(spark):
-    found = queries.op4_url_filters(spark, SMALL)
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, name):
+    found = queries.queries()[name](spark, SMALL)
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{SMALL}/pages.parquet'")
+    for t in ("pages", "documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     columns = sorted(found.columns)
-    want = duck.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL['op4_url_filters']})").fetchall()
+    want = duck.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in columns)) for r in found.collect())
 
 
