@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
+from tessera.llm.frames import cut, quoted
 from tessera.llm.fm_index import FmIndex
 
 #: Bytes of benchmark text whose phrases are broadcast and searched at once; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 4 << 20
+#: Text of a shard.
+SHARD_BYTES = 4 << 20
 #: Windows of a piece of a long item.
 PIECE_WINDOWS = 20_000
 
@@ -37,44 +40,69 @@ def _item_pieces(benchmark: DataFrame, item: str, text: str, window: int) -> Dat
                     rows.append(b" ".join(own[begin : begin + PIECE_WINDOWS + window - 1]))
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(rows, pa.binary())], ["item", "words"])
 
-    return benchmark.select(F.col(item).cast("string"), F.col(text)).mapInArrow(cut_up, "item string, words binary")
+    return benchmark.select(quoted(item).cast("string"), quoted(text)).mapInArrow(cut_up, "item string, words binary")
 
 
 class Phrases:
-    """The distinct windows of some items: word hashes, right-aligned, and the items of each (as places in ``items``)."""
+    """The distinct windows of some items, and the items of each (as places in ``items``), in about 21 bytes for each word.
+
+    Window p is the ``lengths[p]`` words from ``begin[p]`` on in ``words``, the hashes of all items' words.
+    """
 
     def __init__(self, rows: list[tuple[str | None, bytes]], window: int):
         table: dict[bytes, set[int]] = {}
         names: dict[str | None, int] = {}
+        words, begin, lengths, place = [], [], [], 0
         for name, text in rows:
             data, offsets = W.buffers(pa.array([text.decode()], pa.string()))
             h = W.hashes(W.find(data, offsets, W.NON_ALNUM))
             k = names.setdefault(name, len(names))
             width = min(window, len(h))
             for i in range(len(h) - width + 1):
-                table.setdefault(h[i : i + width].tobytes(), set()).add(k)
-        self.items = list(names)
-        self.lengths = np.array([len(p) // 8 for p in table], np.int64)
-        self.words = np.zeros((len(table), window), np.uint64)
-        for row, p in zip(self.words, table, strict=True):
-            row[window - len(p) // 8 :] = np.frombuffer(p, np.uint64)
-        counts = np.array([len(x) for x in table.values()], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        self.item_of = np.array([k for x in table.values() for k in sorted(x)], np.int64)
+                key = h[i : i + width].tobytes()
+                if key not in table:
+                    begin.append(place + i)
+                    lengths.append(width)
+                table.setdefault(key, set()).add(k)
+            words.append(h)
+            place += len(h)
+        self.window, self.items = window, list(names)
+        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        self.begin, self.lengths = np.array(begin, np.int32), np.array(lengths, np.uint8 if window < 256 else np.int32)
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in table.values()])]).astype(np.int32)
+        self.item_of = np.array([k for x in table.values() for k in sorted(x)], np.int32)
+
+    def symbols(self, known: np.ndarray):
+        """(windows, their places in ``known``, right-aligned) of those windows all of whose words are in ``known``, some at a time."""
+        if not len(known):
+            return
+        at = np.searchsorted(known, self.words)
+        there = known[np.minimum(at, len(known) - 1)] == self.words
+        absent = np.concatenate([[0], np.cumsum(~there)])
+        begin, lengths = self.begin.astype(np.int64), self.lengths.astype(np.int64)
+        whole = np.flatnonzero(absent[begin + lengths] == absent[begin])
+        back = np.arange(self.window) - self.window
+        for a in range(0, len(whole), PIECE_WINDOWS):
+            mine = whole[a : a + PIECE_WINDOWS]
+            rows = (begin + lengths)[mine, None] + back
+            inside = back >= -lengths[mine, None]
+            yield mine, np.where(inside, at[np.where(inside, rows, 0)], -1)
 
 
 def phrase_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
     """The benchmark's phrases in broadcasts, each made of at most about ``block_bytes`` of text, whatever the benchmark's size.
 
-    The driver holds one block at a time.
+    The driver holds one block at a time; the items are read and cut up once.
     """
     spark = benchmark.sparkSession
     rows = _item_pieces(benchmark, item, text, window)
     total = rows.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = -(-total // block_bytes)
+    if blocks > 1:
+        rows = cut(rows.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int")).repartition("block"), by="block")
     found = []
     for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
+        part = rows if blocks == 1 else rows.where(F.col("block") == b)
         found.append(spark.sparkContext.broadcast(Phrases([(r["item"], bytes(r["words"])) for r in part.collect()], window)))
     return found
 
@@ -94,21 +122,20 @@ def hits(data: np.ndarray, offsets: np.ndarray, blocks: list[Broadcast]) -> tupl
     cover = np.zeros(n + docs + 1, np.int64)
     for block in blocks:
         phrases: Phrases = block.value
-        if len(blocks) > 1:
-            vars(block).pop("_value", None)  # a worker holds one block at a time, and reads the next from its executor's disk
-        at = np.searchsorted(known, phrases.words)
-        there = known[np.minimum(at, len(known) - 1)] == phrases.words if n else np.zeros(at.shape, bool)
-        low, high = index.search(np.where(there, at + 1, -1), phrases.lengths)
-        counts = high - low
-        phrase = np.repeat(np.arange(len(counts)), counts)
-        rows = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        places = index.locate(rows)
-        np.add.at(cover, places, 1)
-        np.add.at(cover, places + phrases.lengths[phrase], -1)
-        doc = np.searchsorted(ends, places)
-        for pair in np.unique(doc * len(counts) + phrase).tolist():
-            d, p = divmod(pair, len(counts))
-            items[d].update(phrases.items[k] for k in phrases.item_of[phrases.first[p] : phrases.first[p + 1]])
+        for windows, wanted in phrases.symbols(known):
+            lengths = phrases.lengths[windows].astype(np.int64)
+            low, high = index.search(np.where(wanted >= 0, wanted + 1, -1), lengths)
+            counts = high - low
+            phrase = np.repeat(np.arange(len(counts)), counts)
+            rows = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            places = index.locate(rows)
+            np.add.at(cover, places, 1)
+            np.add.at(cover, places + lengths[phrase], -1)
+            doc = np.searchsorted(ends, places)
+            for pair in np.unique(doc * len(counts) + phrase).tolist():
+                d, p = divmod(pair, len(counts))
+                k = windows[p]
+                items[d].update(phrases.items[x] for x in phrases.item_of[phrases.first[k] : phrases.first[k + 1]])
     hit = np.cumsum(cover)[:-1] > 0
     return found, hit[place], items
 
@@ -120,7 +147,8 @@ def scan(df: DataFrame, blocks: list[Broadcast], id: str = "doc_id", text: str =
     which a window occurs. Words are compared by 64-bit hashes after A-Z became a-z. Null texts have no words; a null item
     id's windows hit but name no item. Repeated rows stay, other columns are ignored, empty tables give empty results.
     ``kept`` is the text itself where nothing is hit; elsewhere the bytes from the start of a span's first word to the end
-    of its last are left out. There is no shuffle; a worker holds one shard of about 4 MB, or one longer text.
+    of its last are left out. There is no shuffle; a worker holds one shard of about 4 MB,
+    or one longer text, and the benchmark at about 21 bytes for each of its words.
     """
     found_type = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>,kept:string>"
     arrow_span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -156,12 +184,12 @@ def scan(df: DataFrame, blocks: list[Broadcast], id: str = "doc_id", text: str =
     @F.arrow_udf(found_type)
     def scanned(texts: pa.Array) -> pa.Array:
         data, offsets = W.buffers(texts)
-        out = [shard(texts.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in W.chunks(np.diff(offsets))]
+        out = [shard(texts.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in W.chunks(np.diff(offsets), SHARD_BYTES)]
         return pa.concat_arrays(out) if out else pa.array([], arrow_type)
 
     names = ["n_words", "spans", "items", *["kept"] * keep]
-    own = [F.col(f"`{c}`") for c in df.columns if c not in names] if keep else [F.col(id)]
-    return df.select(*own, scanned(F.col(text)).alias("__found")).select(*[f"`{c.strip('`')}`" for c in (df.columns if keep else [id]) if c not in names], *[F.col(f"__found.{c}") for c in names])
+    own = [quoted(c) for c in (df.columns if keep else [id]) if c not in names]
+    return df.select(*own, scanned(quoted(text)).alias("__found")).select(*own, *[F.col(f"__found.{c}") for c in names])
 
 
 def judged(found: DataFrame) -> DataFrame:
