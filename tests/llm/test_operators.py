@@ -527,6 +527,36 @@ def test_quality(spark):
     assert quality.score(odd.limit(0), model).count() == 0
 
 
+def test_training_against_plain_updates():
+    draw = np.random.default_rng(7)
+    settings = quality.Settings(bits=4, epochs=2)
+    rows = []
+    for _ in range(40):
+        index = np.unique(draw.integers(0, 16, 5))
+        rows.append((index, draw.random(len(index)), int(draw.integers(0, 2))))
+    z, n, bz, bn = [0.0] * 16, [0.0] * 16, 0.0, 0.0
+
+    def weight(k):
+        if abs(z[k]) <= settings.l1:
+            return 0.0
+        return -(z[k] - math.copysign(settings.l1, z[k])) / ((settings.beta + math.sqrt(n[k])) / settings.alpha + settings.l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(settings.epochs):
+        for r in order.permutation(len(rows)):
+            index, values, label = rows[r]
+            bias = -bz / ((settings.beta + math.sqrt(bn)) / settings.alpha)
+            w = {k: weight(k) for k in index}
+            g = 1 / (1 + math.exp(-sum(w[k] * v for k, v in zip(index, values, strict=True)) - bias)) - label
+            for k, v in zip(index, values, strict=True):
+                z[k] += g * v - (math.sqrt(n[k] + (g * v) ** 2) - math.sqrt(n[k])) / settings.alpha * w[k]
+                n[k] += (g * v) ** 2
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / settings.alpha * bias
+            bn += g * g
+    model = quality.train(rows, settings)
+    assert np.allclose(model.weights, [weight(k) for k in range(16)]) and math.isclose(model.bias, -bz / ((settings.beta + math.sqrt(bn)) / settings.alpha))
+
+
 def test_quality_without_labels(spark, docs):
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"), "quality")
     assert {r.score for r in quality.score(docs, model).collect()} == {0.5}
@@ -766,6 +796,46 @@ def test_near_duplicates(spark, docs, settings):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in found) == near_groups([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_near_duplicates_among_many_that_are_almost_linked(spark):
+    # One template: all pairs are alike (0.48 on average), few are linked. Recall is measured in links' ends.
+    draw = random.Random(2)
+    base = [f"b{k}" for k in range(120)]
+    docs = []
+    for _ in range(1000):
+        w = list(base)
+        for k in draw.sample(range(120), 5):
+            w[k] = f"e{draw.randrange(10**7)}"
+        docs.append(w)
+    for w in docs[:300]:
+        w = list(w)
+        for k in draw.sample(range(120), 3):
+            w[k] = f"x{draw.randrange(10**7)}"
+        docs.append(w)
+    draw.shuffle(docs)
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in docs]
+    codes = {x: k for k, x in enumerate(sorted({x for s in sets for x in s}))}
+    there = np.zeros((len(docs), len(codes)), np.float32)
+    for row, s in zip(there, sets, strict=True):
+        row[[codes[x] for x in s]] = 1
+    both, n = there @ there.T, there.sum(1)
+    linked = 100 * both >= 75 * (n[:, None] + n - both)
+    want = near_duplicates._components(len(docs), *np.nonzero(linked))
+    got = near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert 0.4 < (both / (n[:, None] + n - both)).mean() < 0.6 and len(set(want)) < 1001
+    found = {r.doc_id: r.component_id for r in got}
+    assert sum(found[i] == want[i] for i in range(len(docs)) if (want == want[i]).sum() > 1) >= 0.95 * sum((want == want[i]).sum() > 1 for i in range(len(docs)))
+    assert all(found[i] >= want[i] for i in range(len(docs)))
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    draw = random.Random(13)
+    a, b, c = (text_of(draw, 40, 9999) for _ in range(3))
+    rows = [(5, a), (5, b), (9, b + " more"), (7, a + " more"), (6, c), (8, c + " x")]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (9, 5), (7, 5), (6, 6), (8, 6)}
+
+
 def test_near_duplicates_large_group_and_chain(spark):
     draw = random.Random(7)
     base = text_of(draw, 120, 9999).split()
