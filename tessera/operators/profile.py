@@ -15,6 +15,8 @@ from tessera.functions.types import arrow_name, is_categorical, is_numeric
 
 #: Distinct values beyond which the cardinality is only said to be larger.
 CARDINALITY_CAP = 10_000
+#: Characters beyond which a value is counted by its digest; only the top values' texts are looked up again.
+LONG_TEXT = 64
 
 
 def _chosen(df: DataFrame, columns: Sequence[str] | None, limit: int, without: Sequence[str] = ()) -> list[T.StructField]:
@@ -79,22 +81,42 @@ def scalars(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, fields: Sequence[T.StructField], order: str | None = None) -> DataFrame:
-    """``ordinal, name, value, count, first`` of each distinct text of the fields; ``first`` is its smallest ``order``."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), rendered(f).alias("value")) for i, f in enumerate(fields)])
+    """``ordinal, name, value, digest, count, first`` of each distinct text of the fields; ``first`` is its smallest ``order``.
+
+    A long text has no ``value`` but a ``digest``, so that no long text is a key of the shuffle; see :func:`spelled`.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), *_keys(rendered(f))) for i, f in enumerate(fields)])
     number = _at(order) if order else F.lit(None).cast("long")
     long = df.select(number.alias("__n"), F.explode(pairs).alias("__p")).select("__n", "__p.*")
-    counted = long.groupBy("ordinal", "value").agg(F.count(F.lit(1)).alias("count"), F.min("__n").alias("first"))
+    counted = long.groupBy("ordinal", "value", "digest").agg(F.count(F.lit(1)).alias("count"), F.min("__n").alias("first"))
     names = F.array(*[F.lit(f.name) for f in fields])
-    return counted.select("ordinal", F.get(names, F.col("ordinal")).alias("name"), "value", "count", "first")
+    return counted.select("ordinal", F.get(names, F.col("ordinal")).alias("name"), "value", "digest", "count", "first")
+
+
+def _keys(text: Column) -> list[Column]:
+    short = F.length(text) <= LONG_TEXT
+    return [F.when(short, text).alias("value"), F.when(~short, F.sha2(text, 256)).alias("digest")]
+
+
+def spelled(few: DataFrame, df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """``few`` value counts with the texts of those that only have a digest; ``df`` is scanned again if there are any."""
+    texts = [f for f in enumerate(fields) if isinstance(f[1].dataType, T.StringType)]
+    if not texts:
+        return few.drop("digest")
+    wanted = few.where("digest is not null").select("ordinal", "digest")
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), rendered(f).alias("text")) for i, f in texts])).alias("p")).select("p.*")
+    long = each.where(F.length("text") > LONG_TEXT).withColumn("digest", F.sha2("text", 256)).join(F.broadcast(wanted), ["ordinal", "digest"])
+    long = long.groupBy("ordinal", "digest").agg(F.any_value("text").alias("text"))
+    return few.join(F.broadcast(long), ["ordinal", "digest"], "left").withColumn("value", F.coalesce("value", "text")).drop("digest", "text")
 
 
 def top(counts: DataFrame, n: int) -> DataFrame:
-    """The n most frequent values of each column, ``rank`` from 1: ties by first appearance where known, then by value.
+    """The n most frequent values of each column, ``rank`` from 1: ties by first appearance where known, then by value (long ones last, by digest).
 
     Each hash part of a column gives its n best first, so that no task sees all values of a column.
     """
-    order = [F.col("count").desc(), F.col("first").asc_nulls_last(), F.col("value")]
-    part = counts.withColumn("__part", F.pmod(F.xxhash64("value"), F.lit(64)))
+    order = [F.col("count").desc(), F.col("first").asc_nulls_last(), F.col("value").asc_nulls_last(), F.col("digest")]
+    part = counts.withColumn("__part", F.pmod(F.xxhash64("value", "digest"), F.lit(64)))
     few = part.withColumn("__r", F.row_number().over(Window.partitionBy("ordinal", "__part").orderBy(*order))).where(F.col("__r") <= n)
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("ordinal").orderBy(*order))).where(F.col("rank") <= n).drop("__part", "__r")
 
@@ -116,7 +138,7 @@ def stats_categorical(df: DataFrame, columns: Sequence[str] | None = None, limit
 def stats_top_values(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 5, order: str | None = None) -> DataFrame:
     """``name, value, count, rank``."""
     fields = [f for f in _chosen(df, columns, len(df.columns), [order] if order else []) if is_categorical(f.dataType)]
-    return top(value_counts(df, fields, order), top_n).select("name", "value", "count", "rank")
+    return spelled(top(value_counts(df, fields, order), top_n), df, fields).select("name", "value", "count", "rank")
 
 
 def stats(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 50, top_n: int = 5, order: str | None = None) -> DataFrame:
@@ -130,7 +152,7 @@ def stats(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 50,
     if kinds:
         counts = value_counts(df, kinds, order)
         cardinality = counts.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-        lists = top(counts, top_n).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
+        lists = spelled(top(counts, top_n), df, kinds).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("t"))
         both = cardinality.join(lists, "name")
     else:
         both = df.sparkSession.createDataFrame([], "name string, n long, t array<struct<rank:int,value:string,count:long>>")

@@ -66,6 +66,17 @@ def meta_row_groups(spark, sf_dir):
     return footers.row_groups(spark, f"{sf_dir}/lineitem.parquet")
 
 
+@query("SELECT 'num_columns' AS key, CAST(count(*) AS VARCHAR) AS value FROM information_schema.columns WHERE table_name = 'orders' UNION ALL SELECT 'num_rows', CAST(count(*) AS VARCHAR) FROM orders")
+def meta_orders_counts(spark, sf_dir):
+    found = table(spark, sf_dir, "orders").metadata()
+    return spark.createDataFrame([(k, str(found[k])) for k in ("num_columns", "num_rows")], "key string, value string")
+
+
+@query("SELECT sum(n) AS rows FROM (SELECT count(*) AS n FROM lineitem)")
+def meta_row_group_rows(spark, sf_dir):
+    return footers.row_groups(spark, f"{sf_dir}/lineitem.parquet").agg(F.sum("rows").alias("rows"))
+
+
 @query()
 def meta_orders(spark, sf_dir):
     found = {k: str(v) for k, v in table(spark, sf_dir, "orders").metadata().items()}
@@ -206,9 +217,26 @@ def stats_cardinality_cap(spark, sf_dir):
     return profile.stats(frame(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"))).select("name", "cardinality")
 
 
-@query()
+_TOP = (
+    "(SELECT '[' || string_agg('{\"value\":\"' || v || '\",\"count\":' || n || '}', ',' ORDER BY n DESC, first) || ']' FROM "
+    "(SELECT {0} AS v, count(*) AS n, min(rn) AS first FROM (SELECT {0}, row_number() OVER () AS rn FROM lineitem) GROUP BY 1 ORDER BY n DESC, first LIMIT 5))"
+)
+
+
+def _stats_sql() -> str:
+    """One branch for each column of lineitem: numbers, texts, and the rest."""
+    parts = []
+    for name, kind in [("l_orderkey", "int64"), ("l_partkey", "int64"), ("l_suppkey", "int64"), ("l_linenumber", "int32"), *[(c, "double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]]:
+        parts.append(f"SELECT '{name}' AS name, '{kind}' AS type, count({name}) AS count, count(*) - count({name}) AS null_count, CAST(min({name}) AS VARCHAR) AS min, CAST(max({name}) AS VARCHAR) AS max, round(CAST(avg({name}) AS DOUBLE), 6) AS mean, CAST(NULL AS VARCHAR) AS cardinality, CAST(NULL AS VARCHAR) AS top_values FROM lineitem")
+    for name in ("l_returnflag", "l_linestatus"):
+        parts.append(f"SELECT '{name}', 'string', count({name}), count(*) - count({name}), NULL, NULL, NULL, CAST(count(DISTINCT {name}) AS VARCHAR), {_TOP.replace('{0}', name)} FROM lineitem")
+    parts.append("SELECT 'l_shipdate', 'timestamp[us]', count(l_shipdate), count(*) - count(l_shipdate), NULL, NULL, NULL, NULL, NULL FROM lineitem")
+    return " UNION ALL ".join(parts)
+
+
+@query(_stats_sql())
 def stats_lineitem(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").stats()
+    return _rounded(table(spark, sf_dir, "lineitem").stats()).withColumn("top_values", F.to_json("top_values"))
 
 
 # -- diff

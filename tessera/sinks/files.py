@@ -12,7 +12,9 @@ from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.operators.preview import quoted
 from tessera.plans.ordinals import ORDINAL
 from tessera.sources.storage import Storage
 from tessera.sources.table import suffix
@@ -42,11 +44,32 @@ def check_pattern(pattern: str) -> None:
 
 
 def _writer(df: DataFrame, path: str, codec: str | None):
-    kind = suffix(path)
-    out = df.write
-    if kind == ".parquet":
-        return out.option("compression", codec or "snappy").format("parquet")
-    return out.options(header=True, sep="\t" if kind == ".tsv" else ",", quote='"', escape='"', emptyValue='""', nullValue="").format("csv")
+    if suffix(path) == ".parquet":
+        return df.write.option("compression", codec or "snappy").format("parquet")
+    return df.write.format("text")
+
+
+def _lined(df: DataFrame, path: str, order: Sequence[str], chunk: str | None = None) -> DataFrame:
+    """For CSV and TSV: ``value``, the rows as lines, ``order`` and ``chunk``; a header comes before the rows, one in each chunk.
+
+    Texts, and names in the header, are always quoted; null is an empty cell without quotes.
+    """
+    separator = "\t" if suffix(path) == ".tsv" else ","
+    fields = [f for f in df.schema if f.name not in (*order, chunk)]
+    cells = []
+    for f in fields:
+        if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.BinaryType, T.VariantType)):
+            raise ValueError(f"Column {f.name} of type {f.dataType.simpleString()} cannot be written as text")
+        cell = quoted([f.name])[0].cast("string")
+        if isinstance(f.dataType, T.StringType):
+            cell = F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))
+        cells.append(F.coalesce(cell, F.lit("")))
+    own = [*order, *[chunk] * bool(chunk)]
+    lines = df.select(F.concat_ws(separator, *cells).alias("value"), *own)
+    names = separator.join('"' + f.name.replace('"', '""') + '"' for f in fields)
+    heads = df.select(chunk).distinct() if chunk else df.sparkSession.range(1)
+    heads = heads.select(F.lit(names).alias("value"), *[F.lit(-1).cast(df.schema[c].dataType).alias(c) if c != chunk else F.col(c) for c in own])
+    return heads.unionByName(lines)
 
 
 def _staging(path: str) -> str:
@@ -101,9 +124,10 @@ def write_one(df: DataFrame, path: str, order: Sequence[str] = (ORDINAL,), force
     staging = _staging(path)
     seen = Observation()
     try:
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        df = df if suffix(path) == ".parquet" else _lined(df, path, order)
         one = df.repartition(1).sortWithinPartitions(*order) if order else df.coalesce(1)
-        one = one.drop(*order).observe(seen, F.count(F.lit(1)).alias("rows"))
-        _writer(one, path, codec).save(staging)
+        _writer(one.drop(*order), path, codec).save(staging)
         _commit(storage, _part(storage, staging), path)
     finally:
         storage.delete(staging)
@@ -124,12 +148,14 @@ def write_many(df: DataFrame, pattern: str, chunk: str, order: str = ORDINAL, fo
     staging = _staging(pattern % 0)
     seen = Observation()
     try:
-        placed = df.repartition(chunk).sortWithinPartitions(chunk, order).drop(order).observe(seen, F.count(F.lit(1)).alias("rows"))
+        lines = df if suffix(pattern % 0) == ".parquet" else _lined(df, pattern % 0, [order], chunk)
+        placed = lines.repartition(chunk).sortWithinPartitions(chunk, order).drop(order)
+        placed = placed.observe(seen, F.count(F.lit(1)).alias("rows"))
         _writer(placed.withColumnRenamed(chunk, "__chunk"), pattern % 0, codec).partitionBy("__chunk").save(staging)
-        rows = seen.get["rows"]
+        chunks = sorted(int(s.getPath().getName().partition("=")[2]) for s in storage.fs.listStatus(storage.path(staging)) if s.isDirectory())
+        rows = seen.get["rows"] - (0 if lines is df else len(chunks))
         if not rows:
             raise ValueError("Cannot split empty file")
-        chunks = sorted(int(s.getPath().getName().partition("=")[2]) for s in storage.fs.listStatus(storage.path(staging)) if s.isDirectory())
         for i in chunks:
             check_target(storage, pattern % i, force, inputs)
         _commit_all(storage, [(_part(storage, f"{staging}/__chunk={i}"), pattern % i) for i in chunks])

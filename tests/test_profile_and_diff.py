@@ -29,6 +29,15 @@ def test_categorical_and_nulls(spark):
     assert [tuple(t) for t in s.top_values] == [("", 3), ("a", 1)] and e.cardinality == "1"
 
 
+def test_long_values_are_looked_up(spark):
+    long = ["x" * 100, "y" * 65, "z" * 64]
+    df = ordinals.dense(spark.createDataFrame([(v, v and v[:1]) for v in [long[1], *long * 3, long[0], "short", None]], "v string, w string"))
+    v, w = profile.stats(df, top_n=3, order=ordinals.ORDINAL).collect()
+    assert [tuple(t) for t in v.top_values] == [(long[1], 4), (long[0], 4), (long[2], 3)] and v.cardinality == "5"
+    assert [tuple(t) for t in w.top_values] == [("y", 4), ("x", 4), ("z", 3)]
+    assert [(r.value, r["count"]) for r in profile.stats_top_values(df, ["v"], 1, ordinals.ORDINAL).collect()] == [(long[1], 4)]
+
+
 def test_ties_by_first_appearance(spark):
     df = ordinals.dense(spark.createDataFrame([(v,) for v in "baabc"], "v string"))
     assert [r.value for r in profile.stats_top_values(df, ["v"], 3, ordinals.ORDINAL).orderBy("rank").collect()] == ["b", "a", "c"]

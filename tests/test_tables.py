@@ -172,6 +172,19 @@ def test_convert(spark, sample, source, target):
     assert sorted(p.name for p in (sample / "new").iterdir() if not p.name.endswith(".crc")) == [target]
 
 
+def test_texts_are_quoted_in_csv(spark, tmp_path):
+    rows = pa.table({"a": [1, None], "t": ['x "y", z', ""], "d": [0.5, 2.0], "b": [True, None], "n": [None, "line\nbreak"], "day": [date(2024, 1, 2), None]})
+    pq.write_table(rows, tmp_path / "r.parquet")
+    data = api.Dataset(spark, f"{tmp_path}/r.parquet")
+    data.convert(f"{tmp_path}/r.csv")
+    assert (tmp_path / "r.csv").read_text() == '"a","t","d","b","n","day"\n1,"x ""y"", z",0.5,true,,2024-01-02\n,"",2.0,,"line\nbreak",\n'
+    paths, n = data.split(f"{tmp_path}/r-%d.tsv", record_count=1)
+    assert n == 2 and [open(p).read() for p in paths] == ['"a"\t"t"\t"d"\t"b"\t"n"\t"day"\n1\t"x ""y"", z"\t0.5\ttrue\t\t2024-01-02\n', '"a"\t"t"\t"d"\t"b"\t"n"\t"day"\n\t""\t2.0\t\t"line\nbreak"\t\n']
+    pq.write_table(pa.table({"s": [{"x": 1}]}), tmp_path / "s.parquet")
+    with pytest.raises(ValueError, match="cannot be written as text"):
+        api.Dataset(spark, f"{tmp_path}/s.parquet").convert(f"{tmp_path}/s.csv")
+
+
 def test_convert_keeps_codec_and_refuses(spark, sample):
     pq.write_table(SAMPLE, sample / "g.parquet", compression="gzip")
     data = api.Dataset(spark, f"{sample}/g.parquet")
