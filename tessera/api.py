@@ -71,8 +71,10 @@ class Dataset(Table):
 
     def head(self, n: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
         checks.rows(n)
-        checks.columns(columns, self.frame.columns)
+        names = checks.columns(columns, self.frame.columns)
         if self.format == "parquet" and n:
+            if (found := self.edge(n, names)) is not None:
+                return found
             part, _ = self.first_files(n)
             # Row numbers count from the first file on, so the filter leaves the top-n step few rows.
             return preview.head(part.where(F.col(ORDINAL) < n), n, columns, ORDINAL)
@@ -80,8 +82,10 @@ class Dataset(Table):
 
     def tail(self, n: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
         checks.rows(n)
-        checks.columns(columns, self.frame.columns)
+        names = checks.columns(columns, self.frame.columns)
         if self.format == "parquet" and n:
+            if (found := self.edge(n, names, last=True)) is not None:
+                return found
             part, rows = self.first_files(n, last=True)
             return preview.tail(part.where(F.col(ORDINAL) >= rows - n), n, columns, ORDINAL)
         return preview.tail(self.numbered(), n, columns, ORDINAL)

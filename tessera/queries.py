@@ -72,7 +72,7 @@ def meta_orders_counts(spark, sf_dir):
     return spark.createDataFrame([(k, str(found[k])) for k in ("num_columns", "num_rows")], "key string, value string")
 
 
-@query("SELECT sum(n) AS rows FROM (SELECT count(*) AS n FROM lineitem)")
+@query("SELECT CAST(sum(n) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM lineitem)")
 def meta_row_group_rows(spark, sf_dir):
     return footers.row_groups(spark, f"{sf_dir}/lineitem.parquet").agg(F.sum("rows").alias("rows"))
 

@@ -40,9 +40,12 @@ class Storage:
 
     def tail(self, path: str, size: int, length: int) -> bytes:
         """The last ``length`` bytes of a file of ``size`` bytes."""
+        return self.read(path, size - length, length)
+
+    def read(self, path: str, start: int, length: int) -> bytes:
         stream = self.fs.open(self.path(path))
         try:
-            stream.seek(size - length)
+            stream.seek(start)
             return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
         finally:
             stream.close()

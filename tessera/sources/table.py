@@ -15,6 +15,8 @@ from tessera.sources.storage import Storage
 
 #: Files whose footers the driver reads one by one; of more files Spark counts the rows.
 FEW = 100
+#: Of row groups that the driver reads itself for a preview.
+PREVIEW_BYTES = 32 << 20
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".tsv": "csv", ".xlsx": "xlsx"}
 
 
@@ -111,6 +113,21 @@ class Table:
             begin += found.num_rows
         return self.frame.withColumn(name, _start(starts) + F.col("_metadata.row_index"))
 
+    def edge(self, n: int, columns: list[str], last: bool = False) -> DataFrame | None:
+        """The first or last n rows from just the row groups that hold them, if the driver can read those as Spark would.
+
+        That is, if they have at most PREVIEW_BYTES and their types are Spark's; folders' names have no columns here.
+        """
+        if any("." in c for c in columns) or set(columns) - {f.name for f in self.first_footer.schema.to_arrow_schema()}:
+            return None
+        found = footers.edge(self.storage, self.files, n, columns, last, PREVIEW_BYTES)
+        if found is None:
+            return None
+        wanted = self.frame.select(*columns).schema
+        frame = self.spark.createDataFrame(found.select(columns))
+        same = [(a.name, a.dataType) for a in frame.schema] == [(b.name, b.dataType) for b in wanted]
+        return frame if same else None
+
     def first_files(self, n: int, last: bool = False) -> tuple[DataFrame, int]:
         """(numbered frame of just those Parquet files that hold the first or last n rows, their rows)."""
         chosen, rows = [], 0
