@@ -6,8 +6,6 @@ import atexit
 import tempfile
 import uuid
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,29 +58,31 @@ def release() -> None:
 atexit.register(release)
 
 
-#: Bits of the filter before a join: 8 MB, whatever the input's size.
-FILTER_BITS = 26
+#: Bits of the filter before a join: 8 MB, whatever the input's size; and of each of its parts, as Spark's bitmaps have them.
+FILTER_BITS, PART_BITS = 26, 15
 
 
-def maybe_in(keys: DataFrame, key: str) -> Column:
-    """True for every row whose column ``key`` is in ``keys``, and for few others while ``keys`` has far fewer than 67 million.
+def marked(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with a flag: true where ``key`` is in ``keys`` and, while those are far fewer than 67 million, hardly elsewhere.
 
-    A bitmap of hashed keys, built in parts by the executors, spares the join that follows the rows that find no partner.
-    It never drops one that does; where it fills up, it only drops fewer.
+    A bitmap of hashed keys is broadcast in parts, and spares a join or a shuffle the rows that find no partner. It never
+    misses one that does; where it fills up, it only spares less. ``keys`` should be cut. All of it is DataFrame functions.
     """
-    at = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
-    part = 1 << 15  # of bitmap_construct_agg
-    table = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for row in keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / part).alias("p")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(part))).alias("bits")).collect():
-        table[row["p"] * part // 8 : (row["p"] + 1) * part // 8] = np.frombuffer(row["bits"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
-
-    @F.arrow_udf("boolean")
-    def hit(places: pa.Array) -> pa.Array:
-        k = places.to_numpy()
-        return pa.array((shared.value[k >> 3] >> (k & 7) & 1).astype(bool))
-
-    return hit(at)
+
+    def at(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+
+    low = (1 << PART_BITS) - 1
+    parts = keys.select(at(quoted(key)).alias("at")).groupBy(F.shiftright("at", PART_BITS).alias("__part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(low))).alias("__bits"))
+    place = at(quoted(key)).bitwiseAND(F.lit(low)).cast("int")
+    byte = F.ascii(F.decode(F.substring(F.col("__bits"), F.shiftright(place, 3) + 1, F.lit(1)), "ISO-8859-1"))
+    found = df.withColumn("__part", F.shiftright(at(quoted(key)), PART_BITS)).join(F.broadcast(parts), "__part", "left")
+    return found.withColumn(name, F.coalesce(F.getbit(byte, place.bitwiseAND(F.lit(7))) == 1, F.lit(False))).drop("__part", "__bits")
+
+
+def possible(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``df`` without most of the rows whose ``key`` is not in ``keys``; see :func:`marked`."""
+    return marked(df, keys, key, "__possible").where("__possible").drop("__possible")
 
 
 def partitions(spark: SparkSession) -> int:

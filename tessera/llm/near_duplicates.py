@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.frames import cut, maybe_in, partitions, quoted
+from tessera.llm.frames import cut, partitions, possible, quoted
 
 NO_ID = (1 << 63) - 1
 #: Kinds of a task's findings: a likely link to the smallest sure partner, one to the nearest partner, a leaf's member.
@@ -558,7 +558,7 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Sett
     leaves = cut(found.where(F.col("kind") == MEMBER).select(F.col("x").alias("leaf"), F.col("y").alias("doc")).distinct())
     ends = leaves.select(F.col("doc").alias("node")).distinct().join(sets, "node").select(F.col("rep").alias("doc"), *digest, "node")
     ends = cut(ends)
-    full = rows.where(maybe_in(ends, "doc")).mapInArrow(_sets(settings), "doc long, one long, two long, n long, set binary")
+    full = possible(rows, ends, "doc").mapInArrow(_sets(settings), "doc long, one long, two long, n long, set binary")
     full = cut(full.join(ends, ["doc", *digest]).dropDuplicates(["node"]).select(F.col("node").alias("doc"), "n", "set"))
 
     sure = found.where(F.col("kind") == SURE).groupBy("y").agg(F.min("x").alias("x"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.frames import cut, maybe_in, partitions, quoted
+from tessera.llm.frames import cut, marked, partitions, possible, quoted
 
 #: Documents that share a minimiser beyond which further minimisers divide its bucket and equal strings become one.
 HOT = 5_000
@@ -226,17 +226,17 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", window: i
     rows = df.select(*key, value)
     slim = cut(rows.mapInArrow(_slim(window, run), "doc long, tie long, low long"))
     shared = slim.groupBy("low").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    shared = cut(shared.select("low", (F.col("n") > hot).alias("hot")))
+    shared = shared.select("low", (F.col("n") > hot).alias("hot"))
 
     digest = df.where(F.length(quoted(text)) >= 2 * window - 1).select(*key, F.md5(quoted(text)).alias("md5"))
     earliest = digest.groupBy("md5").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("md5", "lo")
     copies = cut(digest.join(earliest, "md5").where("lo < doc").select("doc", "tie").distinct())
 
-    lists = slim.where(maybe_in(shared, "low")).join(shared, "low").join(copies, ["doc", "tie"], "left_anti")
+    lists = slim.join(shared, "low").join(copies, ["doc", "tie"], "left_anti")
     lists = cut(lists.groupBy("doc", "tie").agg(F.collect_list(F.struct("low", "hot")).alias("shared")))
     schema = "bucket long, hot boolean, one long, two long, doc long, tie long, start long, span long, packed binary"
-    supers = rows.where(maybe_in(lists, "doc")).join(lists, ["doc", "tie"]).select("doc", "tie", "text", "shared").mapInArrow(_supers(window, run), schema)
-    any_hot = bool(shared.where("hot").head(1))
+    supers = possible(rows, lists, "doc").join(lists, ["doc", "tie"]).select("doc", "tie", "text", "shared").mapInArrow(_supers(window, run), schema)
+    any_hot = bool(lists.where(F.exists("shared", lambda x: x["hot"])).head(1))
     if any_hot:
         supers = cut(supers)
 
@@ -258,10 +258,10 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", window: i
     whole_text = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.lit(-1).cast("long").alias("to")))
     ranges = cut(ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("from", "to")).alias("ranges")).unionByName(copies.withColumn("ranges", whole_text)))
     whole = df.select(F.struct(*[quoted(c) for c in df.columns if c != "dedup"]).alias("row"), *key)
-    touched = maybe_in(ranges, "doc")
+    whole = marked(whole, ranges, "doc", "touched")
     # Only documents that lose words meet their ranges in a shuffle; the others stay where they are.
-    joined = whole.where(touched).join(ranges, ["doc", "tie"], "left").select("row", "ranges")
-    alone = whole.where(~touched).select("row", F.lit(None).cast("array<struct<from:long,to:long>>").alias("ranges"))
+    joined = whole.where("touched").join(ranges, ["doc", "tie"], "left").select("row", "ranges")
+    alone = whole.where("not touched").select("row", F.lit(None).cast("array<struct<from:long,to:long>>").alias("ranges"))
     found = joined.unionByName(alone).withColumn("dedup", _removed(F.col(f"row.`{text.replace('`', '``')}`"), F.col("ranges"), window))
     return found.select("row.*", "dedup")
 

@@ -502,9 +502,9 @@ def test_slots_of_one_large_group(spark):
 
 def test_filter_drops_no_partner(spark):
     keys = spark.range(0, 5000, 7).select(F.col("id").alias("doc"))
-    kept = {r.doc for r in spark.range(5000).select(F.col("id").alias("doc")).where(frames.maybe_in(keys, "doc")).collect()}
+    kept = {r.doc for r in frames.possible(spark.range(5000).select(F.col("id").alias("doc")), keys, "doc").collect()}
     assert set(range(0, 5000, 7)) <= kept and len(kept) < 800
-    assert spark.range(9).select(F.col("id").alias("doc")).where(frames.maybe_in(keys.limit(0), "doc")).count() == 0
+    assert frames.possible(spark.range(9).select(F.col("id").alias("doc")), keys.limit(0), "doc").count() == 0
 
 
 # -- 7
