@@ -98,10 +98,13 @@ class Dataset(Table):
         return found.withColumn("type", F.element_at(names, F.col("name"))) if names is not None else found
 
     def convert(self, output: str, columns: Sequence[str] | None = None, force: bool = False, progress: Progress | None = None) -> int:
-        """Write all rows, or some columns of them, to one file of any supported format; returns the rows."""
+        """Write all rows, or some columns of them, to one file of any supported format; returns the rows.
+
+        An ``output`` that ends in a slash becomes a folder of files, which many tasks write.
+        """
         names = checks.columns(columns, self.frame.columns)
         files.check_target(self.storage, str(output), force, [self.path])
-        rows = files.write_one(self.numbered().select(*preview.quoted(names), ORDINAL), str(output), force=force, codec=self.codec)
+        rows = _write(self.spark, self.numbered().select(*preview.quoted(names), ORDINAL), str(output), [ORDINAL], force, self.codec, lambda: self.count, progress)
         if progress:
             progress(rows, rows)
         return rows
@@ -116,12 +119,20 @@ class Dataset(Table):
             for i in range(checks.files_needed(total, file_count=file_count, record_count=record_count)):
                 files.check_target(self.storage, pattern % i, force, [self.path])
         rows = split.assigned(self.numbered(), ORDINAL, total, file_count, record_count, "__split")
-        paths, written = files.write_many(rows, pattern, "__split", force=force, codec=self.codec, inputs=[self.path])
+        with files.reported(self.spark, progress, total):
+            paths, written = files.write_many(rows, pattern, "__split", force=force, codec=self.codec, inputs=[self.path])
         if progress:
             progress(written, written)
         return paths, written
 
 
+def _write(spark: SparkSession, df: DataFrame, output: str, order: list[str], force: bool, codec: str | None, count: Callable[[], int], progress: Progress | None) -> int:
+    folder = output.endswith("/")
+    total = count() if folder or progress else None
+    with files.reported(spark, progress, total):
+        return files.write_folder(df, output, total, order, force, codec) if folder else files.write_one(df, output, order, force, codec)
+
+
 def diff_files(spark: SparkSession, left: str, right: str, keys: Sequence[str], columns: Sequence[str] | None = None, limit: int = 20, summary_only: bool = False, delimiter: str = ",", sheet: str | None = None) -> dict:
     """Counters and samples of what differs between two inputs; workbooks must be converted first."""
     a, b = (Dataset(spark, p, delimiter, sheet) for p in (left, right))
@@ -132,7 +143,7 @@ def diff_files(spark: SparkSession, left: str, right: str, keys: Sequence[str],
 
 
 def merge_files(spark: SparkSession, inputs: Sequence[str], output: str, force: bool = False, delimiter: str = ",", sheet: str | None = None, progress: Progress | None = None) -> int:
-    """All rows of all inputs, in their order, in one file; returns the rows."""
+    """All rows of all inputs, in their order, in one file, or in a folder if ``output`` ends in a slash; returns the rows."""
     if not inputs:
         raise ValueError("At least one input file must be provided")
     files.check_target(Storage(spark, str(output)), str(output), force, [str(i) for i in inputs])
@@ -142,7 +153,7 @@ def merge_files(spark: SparkSession, inputs: Sequence[str], output: str, force:
     for i, d in enumerate(found):
         cast = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in merged.schema]
         numbered.append(d.numbered().select(*cast, ORDINAL, F.lit(i).alias("__input")))
-    rows = files.write_one(merge(numbered), str(output), ["__input", ORDINAL], force)
+    rows = _write(spark, merge(numbered), str(output), ["__input", ORDINAL], force, None, lambda: sum(d.count for d in found), progress)
     if progress:
         progress(rows, rows)
     return rows

@@ -1,16 +1,18 @@
-"""Single files as sinks: Spark writes into a staging folder beside the target, and a rename commits."""
+"""Files, numbered files and folders of files as sinks: Spark writes into a staging folder beside the target, and a rename commits."""
 
 from __future__ import annotations
 
 import io
+import threading
 import uuid
 import zipfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import date, datetime
 from decimal import Decimal
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +23,8 @@ from tessera.sources.table import suffix
 
 #: Rows that a sheet of a workbook can have; more are an error, which bounds what the driver streams into one.
 SHEET_ROWS = 1_048_576
+#: Rows of a file in a folder of files.
+PART_ROWS = 1_000_000
 _WRITERS = {".parquet": "parquet", ".csv": "csv", ".tsv": "csv"}
 
 
@@ -134,6 +138,58 @@ def write_one(df: DataFrame, path: str, order: Sequence[str] = (ORDINAL,), force
     return seen.get["rows"]
 
 
+def write_folder(df: DataFrame, path: str, total: int, order: Sequence[str] = (ORDINAL,), force: bool = False, codec: str | None = None, inputs: Sequence[str] = ()) -> int:
+    """Write all rows, by ``order``, to a folder of files of about PART_ROWS rows, in parallel; returns the rows written."""
+    path = path.rstrip("/")
+    storage = Storage(df.sparkSession, path)
+    check_target(storage, path, force, inputs)
+    if suffix(path) == ".xlsx":
+        raise ValueError("a workbook is one file")
+    staging = _staging(path)
+    seen = Observation()
+    try:
+        parts = df.repartitionByRange(max(1, -(-total // PART_ROWS)), *order).sortWithinPartitions(*order).drop(*order).observe(seen, F.count(F.lit(1)).alias("rows"))
+        if suffix(path) == ".parquet":
+            parts.write.option("compression", codec or "snappy").parquet(staging)
+        else:
+            parts.write.options(header=True, sep="\t" if suffix(path) == ".tsv" else ",", quote='"', escape='"', emptyValue='""', nullValue="").csv(staging)
+        _commit(storage, staging, path)
+    finally:
+        storage.delete(staging)
+    return seen.get["rows"]
+
+
+@contextmanager
+def reported(spark: SparkSession, progress: Callable[[int, int], None] | None, total: int | None) -> Iterator[None]:
+    """Call ``progress`` with the rows done so far, by the tasks that have ended, and ``total`` while the jobs of the block run."""
+    if not progress or not total:
+        yield
+        return
+    context, group, ended = spark.sparkContext, f"tessera-{uuid.uuid4().hex}", threading.Event()
+    context.setJobGroup(group, "tessera")
+
+    def follow() -> None:
+        told = 0
+        tracker = context.statusTracker()
+        while not ended.wait(1.0):
+            jobs = [j for i in tracker.getJobIdsForGroup(group) if (j := tracker.getJobInfo(i))]
+            stages = [s for j in jobs for i in j.stageIds if (s := tracker.getStageInfo(i))]
+            tasks = sum(s.numTasks for s in stages)
+            done = total * sum(s.numCompletedTasks for s in stages) // max(1, tasks)
+            if told < done < total:
+                told = done
+                progress(done, total)
+
+    thread = threading.Thread(target=follow, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        ended.set()
+        thread.join()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def write_many(df: DataFrame, pattern: str, chunk: str, order: str = ORDINAL, force: bool = False, codec: str | None = None, inputs: Sequence[str] = ()) -> tuple[list[str], int]:
     """One file for each chunk, named by ``pattern``; (paths, rows written). No target is touched until all are whole."""
     check_pattern(pattern)

@@ -197,6 +197,31 @@ def test_texts_are_quoted_in_csv(spark, tmp_path):
         api.Dataset(spark, f"{tmp_path}/s.parquet").convert(f"{tmp_path}/s.csv")
 
 
+@pytest.mark.parametrize("kind", ["parquet", "csv", "tsv"])
+def test_folders_as_outputs(spark, sample, kind, monkeypatch):
+    monkeypatch.setattr(files, "PART_ROWS", 3)
+    out = f"{sample}/many.{kind}/"
+    assert api.merge_files(spark, [f"{sample}/sample.parquet", f"{sample}/sample.csv"], out) == 10
+    assert len([p for p in (sample / f"many.{kind}").iterdir() if p.name.startswith("part-")]) == 4
+    again = api.Dataset(spark, out)
+    assert sorted(r.id for r in again.frame.collect()) == sorted([1, 2, 3, 4, 5] * 2) and again.num_rows == 10
+    if kind == "parquet":
+        assert [r["id"] for r in again.head(10).collect()] == [1, 2, 3, 4, 5] * 2
+    with pytest.raises(FileExistsError):
+        api.Dataset(spark, f"{sample}/sample.parquet").convert(out)
+    with pytest.raises(ValueError, match="also an input"):
+        again.convert(out, force=True)
+    with pytest.raises(ValueError, match="one file"):
+        again.convert(f"{sample}/x.xlsx/")
+
+
+def test_progress_during_a_job(spark, monkeypatch):
+    seen = []
+    with files.reported(spark, lambda *x: seen.append(x), 800):
+        spark.range(0, 8, 1, 8).rdd.map(lambda x: __import__("time").sleep(1.2)).count()
+    assert seen and all(0 < done < 800 and total == 800 for done, total in seen) and seen == sorted(seen)
+
+
 def test_convert_keeps_codec_and_refuses(spark, sample):
     pq.write_table(SAMPLE, sample / "g.parquet", compression="gzip")
     data = api.Dataset(spark, f"{sample}/g.parquet")
@@ -214,7 +239,7 @@ def test_split(spark, sample, kind, how, sizes):
     pattern = f"{sample}/part-%02d.{kind}"
     seen = []
     paths, rows = api.Dataset(spark, f"{sample}/sample.{kind}").split(pattern, progress=lambda *x: seen.append(x), **how)
-    assert rows == 5 and seen == [(5, 5)] and paths == [pattern % i for i in range(len(sizes))]
+    assert rows == 5 and seen[-1] == (5, 5) and paths == [pattern % i for i in range(len(sizes))]
     found = [[r.id for r in api.Dataset(spark, p).frame.collect()] for p in paths]
     assert [len(f) for f in found] == sizes and sum(found, []) == [1, 2, 3, 4, 5]
 
