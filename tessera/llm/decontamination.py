@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.frames import cut, quoted
+from tessera.llm.frames import cut, once, quoted
 from tessera.llm.fm_index import FmIndex
 
 #: Bytes of benchmark text whose phrases are broadcast and searched at once; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 4 << 20
 #: Text of a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Windows of a piece of a long item.
 PIECE_WINDOWS = 20_000
 
@@ -147,7 +147,7 @@ def scan(df: DataFrame, blocks: list[Broadcast], id: str = "doc_id", text: str =
     which a window occurs. Words are compared by 64-bit hashes after A-Z became a-z. Null texts have no words; a null item
     id's windows hit but name no item. Repeated rows stay, other columns are ignored, empty tables give empty results.
     ``kept`` is the text itself where nothing is hit; elsewhere the bytes from the start of a span's first word to the end
-    of its last are left out. There is no shuffle; a worker holds one shard of about 4 MB,
+    of its last are left out. There is no shuffle; a worker holds one shard of about a MB,
     or one longer text, and the benchmark at about 21 bytes for each of its words.
     """
     found_type = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>,kept:string>"
@@ -189,7 +189,7 @@ def scan(df: DataFrame, blocks: list[Broadcast], id: str = "doc_id", text: str =
 
     names = ["n_words", "spans", "items", *["kept"] * keep]
     own = [quoted(c) for c in (df.columns if keep else [id]) if c not in names]
-    return df.select(*own, scanned(quoted(text)).alias("__found")).select(*own, *[F.col(f"__found.{c}") for c in names])
+    return df.select(*own, once(scanned)(quoted(text)).alias("__found")).select(*own, *[F.col(f"__found.{c}") for c in names])
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -58,6 +58,11 @@ def release() -> None:
 atexit.register(release)
 
 
+def once(udf):
+    """The function, evaluated where it stands: a filter on its result does not make Spark evaluate it a second time below."""
+    return udf.asNondeterministic()
+
+
 #: Bits of the filter before a join: 8 MB, whatever the input's size; and of each of its parts, as Spark's bitmaps have them.
 FILTER_BITS, PART_BITS = 26, 15
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.frames import quoted
+from tessera.llm.frames import once, quoted
 
 #: What a byte looks like: letters by case, digits, and any other ASCII character itself.
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -160,5 +160,5 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
                 out[a:b] += SCALE * (sums[words.first[1:]] - sums[words.first[:-1]]) / np.maximum(1, words.counts)
         return pa.array(sigmoid(out))
 
-    value = scored(quoted(text))
+    value = once(scored)(quoted(text))
     return docs.withColumn(name, value) if keep else docs.select(quoted(id), value.alias(name))

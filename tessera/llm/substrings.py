@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.frames import cut, marked, partitions, possible, quoted
+from tessera.llm.frames import cut, marked, once, partitions, possible, quoted
 
 #: Documents that share a minimiser beyond which further minimisers divide its bucket and equal strings become one.
 HOT = 5_000
@@ -307,4 +307,4 @@ def _removed(text: Column, ranges: Column, window: int) -> Column:
         numbers = [pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for x in (n_words, n_removed)]
         return pa.StructArray.from_arrays([*numbers, pa.concat_arrays(kept) if kept else pa.array([], pa.string())], ["n_words", "n_removed", "kept"])
 
-    return removed(text, ranges)
+    return once(removed)(text, ranges)
