@@ -294,6 +294,8 @@ def score(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text")
         own = _opened(table)
         unit = Unit(own.column("text"), own.column("train").to_numpy(), shards)
         questions = [(s, q) for s in range(shards) if (q := unit.question(s)) is not None]
+        del unit, own
+        W.give_back()
         return pa.table(
             {
                 "unit": pa.array([table.column("unit")[0].as_py()] * len(questions), pa.int32()),
@@ -304,6 +306,7 @@ def score(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text")
 
     def answer(table: pa.Table) -> pa.Table:
         answers, sums = _answers([q.as_py() for q in table.column("question")])
+        W.give_back()
         return pa.table({"unit": table.column("unit"), "shard": table.column("shard"), "answer": pa.array(answers, pa.binary()), "sums": pa.array([sums] * len(answers), pa.list_(pa.int64()))})
 
     asked = dealt.groupBy("unit").applyInArrow(ask, "unit int, shard int, question binary")

@@ -318,6 +318,7 @@ def _streamed(key: str, limit: int, size, answer):
                 weight = sum(map(size, held))
         if held and sum(map(len, held)):
             yield from answer(pa.Table.from_batches(held).combine_chunks())
+        W.give_back()
 
     return mapped
 

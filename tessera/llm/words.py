@@ -6,6 +6,8 @@ Null texts have no bytes and so no words.
 
 from __future__ import annotations
 
+import ctypes
+import os
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -152,12 +154,25 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def chunks(sizes: np.ndarray, limit: int = CHUNK_BYTES):
-    """Ranges of rows with at most ``limit`` together, or a single row."""
-    begin, total = 0, 0
+    """Ranges of rows with at most ``limit`` together, or a single row. After a large batch the freed memory goes back to the system."""
+    begin, total, whole = 0, 0, 0
     for i, size in enumerate(sizes.tolist()):
         if i > begin and total + size > limit:
             yield begin, i
             begin, total = i, 0
         total += size
+        whole += size
     if begin < len(sizes):
         yield begin, len(sizes)
+    if whole > CHUNK_BYTES:
+        give_back()
+
+
+def give_back() -> None:
+    """Python workers serve one stage after the other and keep what they freed; where the C library can, return it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
