@@ -30,7 +30,7 @@ class Dataset(Table):
 
     @property
     def num_columns(self) -> int:
-        return len(self.fields)
+        return len(self.names)
 
     @property
     def num_physical_columns(self) -> int:

@@ -50,31 +50,41 @@ def splittable(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(quotes % 2 == 1).head(1)
 
 
-def read(spark: SparkSession, path: str, delimiter: str = ",", single_line: bool | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """(frame, Arrow name of each column's type). The first line has the names.
+def names(spark: SparkSession, path: str, delimiter: str = ",") -> list[str]:
+    """The columns, from the first line alone."""
+    head = spark.read.options(sep=delimiter, quote='"', escape='"', multiLine=True, header=False).csv(path).head(1)
+    if not head:
+        raise ValueError(f"Empty CSV file: {path}")
+    found = [x or "" for x in head[0]]
+    if len(set(found)) < len(found):
+        raise ValueError(f"Duplicate column names in {path}: {sorted({n for n in found if found.count(n) > 1})}")
+    return found
+
+
+def texts(spark: SparkSession, path: str, delimiter: str = ",", single_line: bool | None = None) -> DataFrame:
+    """All cells as texts. The first line has the names.
 
     Cells may hold line breaks, which keeps a file in one split; where none does, or ``single_line`` says so, tasks share a
     file. Rows with too many or too few cells, repeated names and files without a header raise.
     """
+    columns = names(spark, path, delimiter)
     if single_line is None:
         single_line = splittable(spark, path)
     reader = spark.read.options(header=True, sep=delimiter, quote='"', escape='"', multiLine=not single_line, mode="FAILFAST", inferSchema=False, nullValue="\0", emptyValue="", enforceSchema=False)
-    head = spark.read.options(sep=delimiter, quote='"', escape='"', multiLine=not single_line, header=False).csv(path).head(1)
-    if not head:
-        raise ValueError(f"Empty CSV file: {path}")
-    names = [x or "" for x in head[0]]
-    if len(set(names)) < len(names):
-        raise ValueError(f"Duplicate column names in {path}: {sorted({n for n in names if names.count(n) > 1})}")
-    raw = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
-    raw = raw.select([F.coalesce(_cell(n), F.lit("")).alias(n) for n in names])
+    raw = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in columns])).csv(path)
+    return raw.select([F.coalesce(_cell(n), F.lit("")).alias(n) for n in columns])
+
+
+def typed(raw: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(the frame of texts with its columns' types, Arrow name of each type), from all values."""
     flags = []
-    for i, n in enumerate(names):
+    for i, n in enumerate(raw.columns):
         absent = _cell(n).isin(NULLS)
         flags.append(F.coalesce(F.bool_and(absent), F.lit(True)).alias(f"{i}:null"))
         flags += [F.bool_and(absent | form(_cell(n)).isNotNull()).alias(f"{i}:{kind}") for kind, form in _FORMS]
     found = raw.agg(*flags).first()
     out, kinds = [], {}
-    for i, n in enumerate(names):
+    for i, n in enumerate(raw.columns):
         kind = "null" if found[f"{i}:null"] else next((k for k, _ in _FORMS if found[f"{i}:{k}"]), "string")
         kinds[n] = kind
         if kind == "null":

@@ -44,9 +44,19 @@ class Table:
         if self.format == "parquet":
             return self.spark.read.parquet(self.path), {}
         if self.format == "csv":
-            return csv.read(self.spark, self.path, self.delimiter)
+            return csv.typed(self.texts)
         return xlsx.read(self.spark, self.path, self.sheet)
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Of CSV the cells as they stand, for what needs no types."""
+        return csv.texts(self.spark, self.path, self.delimiter)
+
+    @cached_property
+    def names(self) -> list[str]:
+        """The columns; of CSV from the first line alone."""
+        return csv.names(self.spark, self.path, self.delimiter) if self.format == "csv" else [n for n, _, _ in self.fields]
+
     @property
     def frame(self) -> DataFrame:
         return self._opened[0]
@@ -77,7 +87,9 @@ class Table:
     @cached_property
     def count(self) -> int:
         """Rows; of Parquet from the footers alone, on the driver for a few files."""
-        return sum(f.num_rows for f in self.footers) if self.format == "parquet" and len(self.files) <= FEW else self.frame.count()
+        if self.format == "parquet" and len(self.files) <= FEW:
+            return sum(f.num_rows for f in self.footers)
+        return (self.texts if self.format == "csv" else self.frame).count()
 
     @cached_property
     def fields(self) -> list[tuple[str, str, bool]]:

@@ -136,6 +136,13 @@ def test_csv_types(spark, tmp_path):
     assert found[0].ts == datetime(2024, 1, 2, 3, 4, 5) and found[2].f == float("inf") and data.num_rows == 3
 
 
+def test_csv_types_are_found_only_where_needed(spark, tmp_path, monkeypatch):
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n2,y\n")
+    monkeypatch.setattr(csv, "typed", lambda raw: pytest.fail("all values were read for their types"))
+    data = api.Dataset(spark, f"{tmp_path}/t.csv")
+    assert data.num_columns == 2 and data.num_rows == 2 and data.metadata(fast=True)["num_columns"] == 2
+
+
 def test_csv_errors_and_separators(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     with pytest.raises(ValueError, match="Empty CSV file"):
