@@ -225,7 +225,7 @@ def test_folders_as_outputs(spark, sample, kind, monkeypatch):
 def test_progress_during_a_job(spark, monkeypatch):
     seen = []
     with files.reported(spark, lambda *x: seen.append(x), 800):
-        spark.range(0, 8, 1, 8).rdd.map(lambda x: __import__("time").sleep(1.2)).count()
+        spark.range(0, 24, 1, 24).rdd.map(lambda x: __import__("time").sleep(1)).count()
     assert seen and all(0 < done < 800 and total == 800 for done, total in seen) and seen == sorted(seen)
 
 
