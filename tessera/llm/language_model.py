@@ -30,7 +30,7 @@ from tessera.llm.elias_fano import Codebook, Trie
 from tessera.llm.frames import partitions, quoted
 
 #: Text of a unit and of a shard, about, and of the parts in which it travels.
-UNIT_BYTES, PART_BYTES = 8 << 20, 64 << 10
+UNIT_BYTES, PART_BYTES = 8 << 20, 128 << 10
 MU, D = 4.0, 0.75
 #: Hashes that stand for the start and the end of a text (fixed values).
 START, END = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
@@ -40,6 +40,11 @@ CONTEXT_BITS, PAIR_BITS, TRIPLE_BITS = 48, 32, 24
 ASKED, ANSWERED = 9, 5
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
+
 def classes(shards: int) -> int:
     """Into how many contexts a word's pairs are dealt, by the second word: a word that is a 16th of the text fills no shard."""
     return max(8, 1 << max(0, shards // 16 - 1).bit_length())
@@ -152,13 +157,23 @@ def _unlow(data: bytes, bits: int) -> np.ndarray:
     return wide.view(np.uint64).reshape(-1)
 
 
+def _dense(data: bytes) -> bytes:
+    """Counts and codes say little for each byte, unlike hashes."""
+    return struct.pack("<I", len(data)) + _codec().compress(data, asbytes=True) if data else b""
+
+
+def _undense(data: bytes) -> bytes:
+    return _codec().decompress(data[4:], struct.unpack("<I", data[:4])[0], asbytes=True) if data else b""
+
+
 def _small(counts: np.ndarray) -> bytes:
     """Counts in a byte each; those over 254 are marked and follow in eight bytes."""
     large = counts > 254
-    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes() + struct.pack("<I", int(large.sum()))
+    return _dense(np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes() + struct.pack("<I", int(large.sum())))
 
 
 def _unsmall(data: bytes) -> np.ndarray:
+    data = _undense(data)
     (large,) = struct.unpack("<I", data[-4:])
     n = len(data) - 4 - 8 * large
     counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
@@ -214,7 +229,7 @@ def _answers(questions: list[bytes]) -> tuple[list[bytes], list[int]]:
     cuts = [np.concatenate([[0], np.cumsum(x)]) for x in (sizes, [len(p[2]) * 8 // CONTEXT_BITS for p in parts], [len(p[4]) // 4 for p in parts], [len(p[7]) * 8 // TRIPLE_BITS for p in parts])]
     for k in range(len(parts)):
         w, c, p, t = (slice(x[k], x[k + 1]) for x in cuts)
-        out.append(_packed(_small(counts[place[w]]), _small(followed[of[c]]), pair_codes[pair[p]].tobytes(), pair_weights[pair[p]].tobytes(), triple_codes[triple[t]].tobytes()))
+        out.append(_packed(_small(counts[place[w]]), _small(followed[of[c]]), *(_dense(x.tobytes()) for x in (pair_codes[pair[p]], pair_weights[pair[p]], triple_codes[triple[t]]))))
     return out, [int(counts.sum()), int((counts > 0).sum())]
 
 
@@ -227,7 +242,7 @@ def _probabilities(unit: Unit, answers: list[tuple[int, bytes]], n: int, v: int)
         w, c, p, t = unit.slices(shard)
         own = _unpacked(data, ANSWERED)
         counts[w], followed[c] = _unsmall(own[0]), _unsmall(own[1])
-        codes[p], weights[p], triples[t] = (np.frombuffer(x, np.uint8) for x in own[2:])
+        codes[p], weights[p], triples[t] = (np.frombuffer(_undense(x), np.uint8) for x in own[2:])
     decode = Codebook().decode
     alone = ((counts + 0.1) / (n + 0.1 * (v + 1)))[unit.token]
     two = ((decode(codes) * followed[unit.owner])[unit.pair] + MU * alone) / (counts[unit.context] + MU)
@@ -254,7 +269,7 @@ def _parts(units: int):
             for a, b in W.chunks(np.diff(offsets), PART_BYTES):
                 part = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), W.as_text(batch.column(1).slice(a, b - a)), batch.column(2).slice(a, b - a)], ["doc", "text", "train"])
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=_codec())) as out:
                     out.write_batch(part)
                 data.append(sink.getvalue().to_pybytes())
                 unit.append(int.from_bytes(blake2b(data[-1], digest_size=7).digest(), "little") % units)
