@@ -31,7 +31,7 @@ from tessera.llm.frames import partitions, quoted
 
 #: Text of a unit and of a shard, about, and of the parts in which it travels.
 UNIT_BYTES, PART_BYTES = 8 << 20, 128 << 10
-MU, D = 4.0, 0.75
+MU, D = 64.0, 0.75
 #: Hashes that stand for the start and the end of a text (fixed values).
 START, END = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
 #: Bits of a context, of a pair's second word below it, of a triple's third word below its pair.
