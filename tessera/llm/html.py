@@ -215,11 +215,11 @@ def _leave_out(page: _Page) -> None:
             # A hint on an element around the article (say, "sidebar") says nothing about the article in it.
             count = holders if page.suspect[i] == "wrapper" else inner
             around = count[page.until[i]] - count[i + 1]
+            # What readers said may stand in articles of its own.
+            elsewhere = page.suspect[i] == "readers" and inner[n] > inner[page.until[i]] - inner[i]
             # Nor does one on most of the text, if it is not what readers say of an article elsewhere.
-            most = 2 * chars[i] > chars[0] and not (page.suspect[i] == "readers" and inner[n] > inner[page.until[i]] - inner[i])
-            if page.suspect[i] == "hidden":
-                most = False
-            if not around and not most and (page.suspect[i] != "partly" or 2 * links[i] > chars[i]):
+            most = 2 * chars[i] > chars[0] and not elsewhere and page.suspect[i] != "hidden"
+            if (not around or elsewhere) and not most and (page.suspect[i] != "partly" or 2 * links[i] > chars[i]):
                 page.dropped[i] = True
 
 

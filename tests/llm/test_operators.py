@@ -199,6 +199,12 @@ def test_html_pages_in_a_form_and_headers_of_articles():
     assert html.main_text(page).split("\n") == ["Title", "By me", *a]
 
 
+def test_html_comments_in_articles_of_their_own():
+    a, b = prose("a", 2), prose("b", 9)
+    comments = "".join(f"<article><p>{x}</p></article>" for x in b)
+    assert html.main_text(f'<body><main><article><h1>Title</h1>{paragraphs(a)}</article><section id="comments"><h2>Comments</h2>{comments}</section></main></body>').split("\n") == ["Title", *a]
+
+
 @pytest.mark.parametrize("name", ["social-history", "post related", "related", "social"])
 def test_html_articles_of_odd_names(name):
     a = prose("a", 4)
