@@ -141,3 +141,10 @@ def test_pipeline_of_awkward_and_empty_tables(spark, awkward, tmp_path):
         out = stage(spark, empty, at)
         assert out.columns == empty.columns and out.count() == 0
     assert corpus_pipeline.run(spark, at).count() == 0
+
+
+def test_stages_evaluate_their_functions_once(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        plan = stage(spark, docs, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") <= 1
