@@ -99,10 +99,10 @@ def with_next(df: DataFrame, id: str, payload: str, tie: str, size: Column, buck
     first = rows.groupBy(at).agg(F.max(F.struct(F.col(key), F.bitwise_not(F.col(tie)).alias("not_tie"))).alias("first"))
     ring = Window.orderBy(at)
     before = F.coalesce(F.lead(at).over(ring), F.first(at).over(ring))
-    heads = cut(first.select(at, F.col(f"first.{key}").alias(key), F.bitwise_not(F.col("first.not_tie")).alias(tie), before.alias("__lent")))
+    heads = cut(first.select(F.col(f"first.{key}").alias(key), F.bitwise_not(F.col("first.not_tie")).alias(tie), before.alias("__lent")))
     places = F.array(F.struct(F.col(at).alias("at"), F.lit(0).alias("copy")))
     places = F.when(F.col("__lent").isNull(), places).otherwise(F.array(places[0], F.struct(F.col("__lent").alias("at"), F.lit(1).alias("copy"))))
-    dealt = rows.join(heads, [at, key, tie], "left").withColumn("__to", F.explode(places)).withColumns({at: F.col("__to.at"), copy: F.col("__to.copy")}).drop("__to", "__lent")
+    dealt = rows.join(heads, [key, tie], "left").withColumn("__to", F.explode(places)).withColumns({at: F.col("__to.at"), copy: F.col("__to.copy")}).drop("__to", "__lent")
     order = Window.partitionBy(at).orderBy(copy, F.col(key).desc(), tie)
     ringed = dealt.withColumn(f"next_{payload}", F.coalesce(F.lead(payload).over(order), F.col(payload))).where(F.col(copy) == 0)
     return ringed.drop(key, at, copy)
