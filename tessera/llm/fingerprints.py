@@ -86,7 +86,7 @@ def with_next(df: DataFrame, id: str, payload: str, tie: str, size: Column, buck
     """Add ``next_`` + payload: the payload of the next row in descending ``id``, after the last row that of the first.
 
     Rows with the same id stand in the order of ``tie`` (a long); null ids stand below all others. Rows are dealt into
-    buckets of at most about ``bucket_bytes`` (BUCKET_BYTES), two for each shuffle partition at least, as ``size`` gives a row's bytes: ids by approximate quantiles and evenly between them, an
+    buckets of at most about ``bucket_bytes`` (BUCKET_BYTES), as many as shuffle partitions at least, as ``size`` gives a row's bytes: ids by approximate quantiles and evenly between them, an
     id that fills a quantile alone by its ties. Order within a bucket is a window; across buckets it needs the head of each
     bucket, which is dealt to the bucket before it as well. The driver holds at most QUANTILES ids; the heads are a table, 40
     bytes for each bucket, which Spark broadcasts if it is small.
@@ -94,7 +94,7 @@ def with_next(df: DataFrame, id: str, payload: str, tie: str, size: Column, buck
     key, at, copy = "__key", "__bucket", "__copy"
     rows = df.withColumn(key, F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))))
     found = rows.agg(F.sum(size).alias("bytes"), F.percentile_approx(key, [i / QUANTILES for i in range(QUANTILES + 1)], 20 * QUANTILES).alias("ids")).first()
-    rows = rows.withColumn(at, _bucket(F.col(key), F.col(tie), found["ids"] or [], max(2 * partitions(df.sparkSession), -(-(found["bytes"] or 0) // (bucket_bytes or BUCKET_BYTES)))))
+    rows = rows.withColumn(at, _bucket(F.col(key), F.col(tie), found["ids"] or [], max(partitions(df.sparkSession), -(-(found["bytes"] or 0) // (bucket_bytes or BUCKET_BYTES)))))
     # Of each bucket the first row in the order, and the bucket that comes before it.
     first = rows.groupBy(at).agg(F.max(F.struct(F.col(key), F.bitwise_not(F.col(tie)).alias("not_tie"))).alias("first"))
     ring = Window.orderBy(at)
